@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import quoted, ship, text_of, without
+from .common import quoted, ship, slices, text_of, without
 
 #: Fixed value: how the byte-level pre-tokenizer of the public vocabulary cuts a text.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens remembered by a worker; the memory is emptied beyond it, which costs time only.
-REMEMBERED = 300_000
+#: Pre-tokens, and pairs of tokens, remembered by a worker; the memory is emptied beyond it, which costs time only.
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -69,11 +69,6 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
         self.cut = regex.compile(PRE_TOKEN)
         self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        spelled = {i: t for t, i in zip(self.tokens, self.ids, strict=True)} | {i: s.encode() for s, i in self.special.items()}
-        size = max(spelled) + 1
-        self.lengths = np.array([len(spelled.get(i, b"")) for i in range(size)], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.blob = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(size)), dtype=np.uint8)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether both tokens stay apart when their bytes are merged by rank."""
@@ -97,7 +92,7 @@ class Vocabulary:
                     limit, a = a, self.halves[a][1]
                     if a == limit:
                         break
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) >= REMEMBERED:
             self.compatible.clear()
         self.compatible[key] = result
         return result
@@ -148,8 +143,21 @@ class Vocabulary:
                 out += [known.get(w) or word(w) for w in self.cut.findall(part)]
         return b"".join(out)
 
+
+class OffsetTable:
+    """Where the bytes of each token id begin in one string of all tokens, and how many there are."""
+
+    def __init__(self, spec: str):
+        data = json.loads(spec)
+        to_byte = {c: b for b, c in enumerate(byte_symbols())}
+        spelled = {i: bytes(to_byte[c] for c in t) for t, i in data["model"]["vocab"].items()}
+        spelled |= {t["id"]: t["content"].encode() for t in data.get("added_tokens", [])}
+        ordered = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.lengths = np.array([len(t) for t in ordered], dtype=np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(ordered), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of the ids, by their offsets in the table of all tokens."""
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -162,6 +170,11 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
+@functools.lru_cache(maxsize=2)
+def offset_table(spec: str) -> OffsetTable:
+    return OffsetTable(spec)
+
+
 def read_spec(tokenizer_path: str) -> str:
     with open(tokenizer_path, encoding="utf-8") as f:
         return f.read()
@@ -177,7 +190,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str =
 
     def run(batches):
         v = vocabulary(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([v.encode(t) for t in batch.column("__text").to_pylist()], pa.binary())
             keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], found], names=[*[batch.schema.names[i] for i in keep], ids])
@@ -195,8 +208,8 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "
     place = base.columns.index(ids)
 
     def run(batches):
-        v = vocabulary(spec.value)
-        for batch in batches:
+        v = offset_table(spec.value)
+        for batch in slices(batches):
             parts = [np.frombuffer(x, dtype="<u4") for x in (b or b"" for b in batch.column(place).to_pylist())]
             flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
             data = v.decode(flat)

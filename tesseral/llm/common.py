@@ -79,6 +79,13 @@ def crc_bucket(key: "F.Column", modulus: int) -> "F.Column":
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def slices(batches, rows: int = 256):
+    """The batches in pieces of few rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
 
