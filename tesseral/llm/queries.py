@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import ans, bpe
+from .common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The id that ends each document in the token files.
+END_ID = 2
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    ans.write(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return ans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, TOKENIZER).drop("text")
@@ -24,6 +34,7 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op8_bpe_encoding": op8_bpe_encoding,
 }
 
