@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontaminate, jaccard, secrets
-from .common import scratch, table
+from . import ans, bpe, decontaminate, jaccard, language, secrets
+from .common import crc_bucket, scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,6 +33,17 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Of documents whose crc32(doc_id) modulo this is 0 nothing is learned.
+LANGUAGE_FOLDS = 5
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), LANGUAGE_FOLDS) == 0, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontaminate.find(docs, items, ["doc_id"])
@@ -64,6 +75,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_secret_scan": op9_secret_scan,
