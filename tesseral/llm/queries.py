@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontaminate, jaccard, language, secrets
+from . import ans, bpe, ctw, decontaminate, jaccard, language, secrets
 from .common import crc_bucket, scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: Of documents whose crc32(doc_id) modulo 7 is this nothing is learned.
+SCORING_FOLDS, SCORING_FOLD = 7, 2
+
+
+def op6_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), SCORING_FOLDS) == SCORING_FOLD, F.lit(False))
+    rows = ctw.score(docs.select("doc_id", "text", held_out.alias("held_out")), "held_out")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     found = decontaminate.find(docs, items, ["doc_id"])
@@ -76,6 +87,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_language_id": op5_language_id,
+    "op6_context_tree_scores": op6_context_tree_scores,
     "op7_decontamination": op7_decontamination,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_secret_scan": op9_secret_scan,
