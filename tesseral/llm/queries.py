@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, ctw, decontaminate, jaccard, language, secrets
+from . import ans, bpe, ctw, decontaminate, jaccard, knn, language, pages, secrets, urls
 from .common import crc_bucket, scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,30 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_voronoi_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+#: The rules by which urls are judged.
+URL_RULES = (
+    urls.Rule("block", "com/en/"),
+    urls.Rule("allow", "example.com/en/7"),
+    urls.Rule("allow", "net/de/"),
+    urls.Rule("block", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: Of documents whose crc32(doc_id) modulo this is 0 nothing is learned.
 LANGUAGE_FOLDS = 5
 
@@ -86,6 +110,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_voronoi_top5": op2_voronoi_top5,
+    "op3_url_filter": op3_url_filter,
+    "op4_main_text": op4_main_text,
     "op5_language_id": op5_language_id,
     "op6_context_tree_scores": op6_context_tree_scores,
     "op7_decontamination": op7_decontamination,
@@ -95,6 +122,13 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_voronoi_top5": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
     "op7_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
