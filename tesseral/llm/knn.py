@@ -69,8 +69,8 @@ def top(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str
     placed = stored(all_rows.mapInArrow(place, "vec_id long, v array<long>, g int, far double"), "placed")
     # Of each group at most k + 1 distances; as many groups as pivots.
     counts = placed.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
-    close = placed.select("g", "far").withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("far"))).where(F.col("i") == k + 1)
-    close = {r.g: r.far for r in close.collect()}
+    close = placed.select("g", "far").withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("far"))).where(F.col("i") <= k + 1)
+    close = {r.g: r.far for r in close.groupBy("g").agg(F.max("far").alias("far"), F.count("*").alias("n")).where(F.col("n") > k).collect()}
     groups = np.array([r.g for r in counts])
     radius = np.array([r.r for r in counts])
     reach = np.array([close.get(r.g, np.inf) for r in counts])
