@@ -205,8 +205,8 @@ query("raw_sql_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(
     lambda db: db.execute("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_quantity > $1 GROUP BY l_returnflag, l_linestatus", [0])
 )
 query("raw_sql_window_rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")(lambda db: db.sql("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)"))
-query("builder_join_group", "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")(
-    lambda db: db.select_from("customer").inner_join("nation", "customer.c_nationkey", "nation.n_nationkey").group_by("nation.n_name").agg(n="count(*)", balance="round(avg(c_acctbal), 2)").order_by("n_name").frame()
+query("builder_join_group", "SELECT n_name, count(*) AS n, max(c_acctbal) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")(
+    lambda db: db.select_from("customer").inner_join("nation", "customer.c_nationkey", "nation.n_nationkey").group_by("nation.n_name").agg(n="count(*)", balance="max(c_acctbal)").order_by("n_name").frame()
 )
 query("builder_left_join", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")(lambda db: db.select_from("documents").left_join("labels", "documents.doc_id", "labels.doc_id").select("documents.doc_id", "labels.quality").frame())
 
