@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PRE_TOKEN, REMEMBERED, read_spec
+from .bpe import byte_symbols, pre_token_pattern, read_spec
 from .common import partitions, quoted, ship, slices, stored, text_of
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES = 256
+LANES = 512
 CHECKPOINT_STEPS = 256
 BLOCK_IDS = 1 << 18
 MAGIC = 0x534E4154
@@ -139,33 +140,67 @@ def decode_block(block: bytes, t: FrequencyTable) -> tuple[np.ndarray, np.ndarra
     return t.ids[out.reshape(-1)[:n]], lengths, keys, nulls
 
 
+class _Spread(Exception):
+    """White space that reaches over a cut at single spaces."""
+
+
+#: Words, and pre-tokens, that a worker remembers; beyond it the memory is emptied, which costs time only.
+REMEMBERED = 500_000
+
+
 @functools.lru_cache(maxsize=2)
 def library_encoder(spec: str, end_id: int):
-    """The tokenizers library behind a memory of pre-tokens: each is encoded by the library when first met."""
+    """The tokenizers library behind a memory of pre-tokens: the library's model encodes each when first met."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    cut, split = regex.compile(PRE_TOKEN), regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-    known: dict[str, bytes] = {}
-    wide = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    end = np.array([end_id], wide).tobytes()
+    cut, split = pre_token_pattern(), regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+    narrow = tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+    kind, wide = ("H", "<u2") if narrow else ("I", "<u4")
+    symbols = dict(enumerate(byte_symbols()))
+    model = tokenizer.model
+    model._resize_cache(0)  # the memory here does its work
+    end = array(kind, [end_id]).tobytes()
+    words: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}
+
+    def part(p: str) -> bytes:
+        if len(parts) >= REMEMBERED:
+            parts.clear()
+        found = parts[p] = array(kind, [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(symbols))]).tobytes()
+        return found
+
+    def whole(text: str) -> list[bytes]:
+        get = parts.get
+        return [get(p) or part(p) for p in cut.findall(text)]
 
     def word(w: str) -> bytes:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        found = known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, wide).tobytes()
+        """Ids of a space and what follows it up to the next: a cut of its own, unless more white space follows."""
+        pieces = cut.findall(" " + w)
+        if pieces[0].isspace():
+            raise _Spread
+        get = parts.get
+        if len(words) >= REMEMBERED:
+            words.clear()
+        found = words[w] = b"".join([get(p) or part(p) for p in pieces])
         return found
 
+    def plain(text: str) -> list[bytes]:
+        first, *rest = text.split(" ")
+        get = words.get
+        try:
+            return [*whole(first), *[get(w) or word(w) for w in rest]]
+        except _Spread:
+            return whole(text)
+
     def encode(text: str) -> bytes:
-        out = []
-        for part in split.split(text) if split and any(s in text for s in special) else (text,):
-            if part in special:
-                out.append(np.array([special[part]], wide).tobytes())
-            else:
-                out += [known.get(w) or word(w) for w in cut.findall(part)]
+        if split and any(s in text for s in special):
+            out = []
+            for piece in split.split(text):
+                out += [array(kind, [special[piece]]).tobytes()] if piece in special else plain(piece)
+        else:
+            out = plain(text)
         out.append(end)
         return b"".join(out)
 
@@ -173,17 +208,26 @@ def library_encoder(spec: str, end_id: int):
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each document with its end id, as narrow little-endian numbers."""
+    """(doc_id, ids, counts): the ids of each document with its end id, as narrow little-endian numbers.
+
+    Each task adds a row of its own, in which ``counts`` has how often it saw each id, and the rest is null."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def run(batches):
-        encode, _ = library_encoder(spec.value, end_id)
+        encode, wide = library_encoder(spec.value, end_id)
+        counts = np.zeros(1 << 16, dtype=np.int64)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            found = [encode(t) for t in batch.column(1).to_pylist()]
+            got = np.bincount(np.frombuffer(b"".join(found), wide))
+            if len(got) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
+            counts[: len(got)] += got
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
-    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -193,18 +237,18 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id:
     staged = stored(tokens(docs, tokenizer_path, end_id, doc_id, text), "token-ids")
 
     def histogram(batches):
-        counts = np.zeros(1 << 16, dtype=np.int64)
-        for batch in slices(batches):
-            for ids in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(ids, wide))
-                if len(got) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
-                counts[: len(got)] += got
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                counts = np.frombuffer(data, np.int64)
+                if len(counts) > len(total):
+                    total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
+                total[: len(counts)] += counts
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     # As many rows as the vocabulary has ids, whatever the input.
-    counted = staged.select("ids").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counted = staged.where("counts IS NOT NULL").select("counts").mapInArrow(histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     ids = counted["id"].to_numpy(dtype=np.int64)
     freqs = FrequencyTable.scaled(counted["n"].to_numpy(dtype=np.int64)) if len(ids) else np.zeros(0, np.int64)
     spark.createDataFrame(list(zip(ids.tolist(), freqs.tolist(), strict=True)), "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
@@ -234,7 +278,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id:
             yield cut()
 
     order = [F.col("doc_id").asc_nulls_first(), F.length("ids").asc(), F.col("ids").asc()]
-    ranged = staged.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
+    ranged = staged.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
     ranged.mapInArrow(blocks, "part int, seq int, part_start long, n_ids long, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
