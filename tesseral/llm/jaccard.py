@@ -8,10 +8,12 @@ Distance is 1 - |A & B| / |A | B|; two documents link when it is at most ``eps``
    triangle inequality tells how far a partner may lie (it lacks at most ``n - ceil((1 - eps) n)`` shingles of a
    set of n), and the set is replicated to just as many further regions. Linked sets always share a region.
    Whole documents can't be these pivots: nearly all of them are at distance 1 from any pivot document.
+   Sets are replicated to ``SPARE`` percent more regions than that. Linked sets then share more than one, so each
+   set can leave some of its most crowded ones: as many as both together never leave all that they share.
 3. Inside a region a document is the pivot: its distance to all members is computed, members within ``eps``
    link to it. Regions whose members are now all connected are done. In the rest the pivot leaves, and members
    too close to it to reach any unlinked member (triangle inequality) leave; the remainder is joined again
-   with a new pivot, ``levels`` times, and then pair by pair across components, within the windows
+   with more pivots, and then pair by pair across components, all within the windows
    ``|d(x, p) - d(y, p)| <= eps``. Nothing is left out, so components are exact.
 
 Order, regions and windows only steer the work: every link is verified on whole sets, and no pair that could
@@ -25,19 +27,21 @@ a text are one document; a null doc_id gets the smallest id of its component, nu
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import quoted, ship, slices, stored, text_of
 
-COUNT_WINDOW = 4_000_000
+COUNT_WINDOW = 2_500_000
 COMMON = (12, 200, 4000)
 BITMAP_BITS = 23
 BLOOM_BITS = 25
-WORDS_REMEMBERED = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,36 +55,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the text's shingles."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) >= WORDS_REMEMBERED:
-            known.clear()
-        codes = []
-        for w in words:
-            c = known.get(w)
-            if c is None:
-                c = known[w] = digest(w)
-            codes.append(c)
-        h = np.array(codes, dtype=np.uint64)
-        size = min(self.size, len(h))
-        out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-        for i in range(size):
-            out = out * _PRIME + h[i : len(h) - size + 1 + i]
-        return np.unique(mixed(out))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the sorted distinct hashes of its shingles."""
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        if not flat:
+            return [np.zeros(0, np.uint64) for _ in texts]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+        lengths = np.array([len(w) for w in words])
+        starts = np.cumsum(lengths) - lengths
+        out = np.full(len(h), self.size, dtype=np.uint64)
+        for i in range(self.size):
+            out[: len(h) - i] = out[: len(h) - i] * _PRIME + h[i:]
+        out = mixed(out)
+        found = []
+        for start, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            if n >= self.size:
+                part = out[start : start + n - self.size + 1]
+                part.sort()
+                keep = np.ones(len(part), dtype=bool)
+                np.not_equal(part[1:], part[:-1], out=keep[1:])
+                found.append(part[keep])
+            elif n:  # the whole sequence is the one shingle
+                one = np.full(1, n, dtype=np.uint64)
+                for i in range(n):
+                    one = one * _PRIME + h[start + i]
+                found.append(mixed(one))
+            else:
+                found.append(np.zeros(0, np.uint64))
+        return found
 
 
 def set_name(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+#: By how much of a set its prefix is longer than it must be, as a percentage.
+SPARE = 8
+#: Regions of more members than this may be left out.
+CROWDED = 4
+#: Regions of more members than this are solved in blocks of ``BLOCK`` members, smaller ones by a join.
+LARGE = 16
+BLOCK = 1024
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """So many first places that linked sets have ``1 + spare`` of them in common, spare being the smaller one's."""
+    return min(n, n - (percent * n + 99) // 100 + 1 + SPARE * n // 100)
 
 
 def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
@@ -95,12 +117,12 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(values[more].view(np.int64)), pa.array(counts[more])], names=["s", "n"])
 
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                held.append(make(text))
-                total += len(held[-1])
-                if total >= COUNT_WINDOW:
-                    yield flush()
-                    held, total = [], 0
+            found = make(batch.column(0).to_pylist())
+            held += found
+            total += sum(map(len, found))
+            if total >= COUNT_WINDOW:
+                yield flush()
+                held, total = [], 0
         if held:
             yield flush()
 
@@ -117,19 +139,21 @@ def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def profiles(texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
-    """(doc_id, node, n, prefix) of each document; ``prefix`` has the regions that its set is replicated to."""
+    """(doc_id, node, n, prefix) of each document; ``prefix`` has the regions that its set is replicated to.
+
+    A region is numbered by its shingle's place in the fixed order: how common it is, then its hash."""
     mask = np.uint64((1 << BITMAP_BITS) - 1)
 
     def run(batches):
         make, level_of = Shingler(size), levels.value
         for batch in slices(batches):
             nodes, sizes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = make(text)
+            for s in make(batch.column(1).to_pylist()):
                 sizes.append(len(s))
                 nodes.append(set_name(s) if len(s) else None)
-                order = np.argsort(level_of[s & mask], kind="stable")  # the hashes are sorted already
-                prefixes.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                order = (level_of[s & mask].astype(np.uint64) << np.uint64(61)) | (s >> np.uint64(3))
+                order.sort()
+                prefixes.append(order[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))],
@@ -139,10 +163,10 @@ def profiles(texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
 
-def _owner(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Three bits of a Bloom filter for the pairs of a node and the document that stands for it."""
-    h = mixed(node.view(np.uint64) * _PRIME + doc.view(np.uint64))
-    return np.stack([(h >> np.uint64(k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in (0, 20, 39)])
+def _bloom_places(doc: np.ndarray) -> np.ndarray:
+    """Three bits of a Bloom filter for each document id."""
+    h = mixed(doc.astype(np.int64).view(np.uint64) * _PRIME)
+    return np.stack([(h >> np.uint64(k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in (0, 20, 39)]).astype(np.int64)
 
 
 def sets_of(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -154,12 +178,10 @@ def sets_of(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     def fill(batches):
         filled = np.zeros(1 << BLOOM_BITS, dtype=bool)
         for batch in batches:
-            node, doc = (np.asarray(batch.column(i).fill_null(0)) for i in (0, 1))
-            filled[_owner(node, doc).ravel().astype(np.int64)] = True
-        at = np.flatnonzero(filled)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
+            filled[_bloom_places(np.asarray(batch.column(0).fill_null(0))).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(filled))], names=["at"])
 
-    at = wanted.select("node", "doc").mapInArrow(fill, "at long")
+    at = wanted.select("doc").mapInArrow(fill, "at long")
     rows = at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("map")).collect()
     bloom = np.zeros((1 << BLOOM_BITS) // 8, dtype=np.uint8)  # at most 2**BLOOM_BITS bits, whatever the input
     for r in rows:
@@ -168,83 +190,191 @@ def sets_of(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         make, filled = Shingler(size), np.frombuffer(shared.value, np.uint8)
-        for batch in slices(batches):
-            out_nodes, out_sets = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = make(text)
-                if len(s):
-                    node = set_name(s)
-                    at = _owner(np.array([node]), np.array([doc or 0])).ravel().astype(np.int64)
-                    if (filled[at >> 3] >> (at & 7) & 1).all():
-                        out_nodes.append(node)
-                        out_sets.append(s.view(np.int64))
-            ends = np.cumsum([0, *map(len, out_sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out_sets) if out_sets else np.zeros(0, np.int64)))], names=["node", "shingles"])
+        for batch in slices(batches, 1024):
+            at = _bloom_places(np.asarray(batch.column(0).fill_null(0)))
+            batch = batch.filter(pa.array((filled[at >> 3] >> (at & 7) & 1).all(axis=0)))
+            found = [s for s in make(batch.column(1).to_pylist()) if len(s)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, most) of each pair: ``most`` bounds how many shingles both sets have.
 
-    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    Up to the smaller of their last prefix places both sets are known whole; beyond it, all could be common."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in "ab")
+    both = pairs.join(right, "b").join(left, "a").withColumn("last", F.least(F.array_max("p_a"), F.array_max("p_b")))
+    rest = lambda x: F.col(f"n_{x}") - F.size(F.filter(f"p_{x}", lambda v: v <= F.col("last")))
+    most = F.size(F.array_intersect("p_a", "p_b")) + F.least(rest("a"), rest("b"))
+    return both.select("a", "b", "n_a", "n_b", most.cast("long").alias("most"))
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, common) of each pair, counted on the whole sets."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+class Verifier:
+    """Distances on whole sets, which are read for the nodes of hopeful pairs only, once for each node."""
 
+    def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int):
+        self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
+        self.sets: DataFrame | None = None
 
-def linked(percent: int) -> str:
-    return f"100 * common >= {percent} * (n_a + n_b - common)"
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, most, common) of each pair; ``common`` is null where ``most`` rules a link out."""
+        bounded = stored(hopeful(pairs, self.nodes, self.percent), "bounded")
+        close = bounded.where(linked(self.percent, "most"))
+        nodes = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = stored(self.nodes.select("node", "doc").join(nodes, "node", "left_semi"), "wanted")
+        if not wanted.isEmpty():
+            more = stored(sets_of(self.texts, self.size, wanted), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return bounded.withColumn("common", F.lit(None).cast("long"))
+        left, right = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
+        common = close.select("a", "b").join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+        return stored(bounded.join(common, ["a", "b"], "left"), "star")
+
+
+def linked(percent: int, common: str = "common") -> str:
+    return f"100 * {common} >= {percent} * (n_a + n_b - {common})"
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of the links: the smallest node that links reach."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    both = stored(links.select("a", "b").union(links.select("b", "a")), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = stored(met.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
+        # Each node hears of its neighbours' labels, and of its own label's label, in one aggregation.
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
+        jump = labels.alias("l").join(labels.select(F.col("node").alias("at"), F.col("comp").alias("next")), F.col("l.comp") == F.col("at")).select("node", F.col("next").alias("comp"))
+        heard = near.union(jump).withColumn("was", F.lit(None).cast("long")).union(labels.select("node", "comp", F.col("comp").alias("was")))
+        after = stored(heard.groupBy("node").agg(F.min("comp").alias("comp"), F.max("was").alias("was")), "labels")
         labels = after.select("node", "comp")
         if after.where("comp <> was").isEmpty():
             return labels
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, levels: int = 2) -> DataFrame:
+def _incidence(lists: pa.ListArray, chunk: int = 4096):
+    """0/1 matrices, some columns at a time, of which values a list has; only values of two lists or more."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    rows = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    values, at, counts = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
+    order = np.cumsum(counts > 1) - 1
+    keep = counts[at] > 1
+    rows, at, values = rows[keep], order[at[keep]], values[counts > 1]
+    for begin in range(0, len(values), chunk):
+        part = (at >= begin) & (at < begin + chunk)
+        matrix = np.zeros((len(lists), min(chunk, len(values) - begin)), dtype=np.float32)
+        matrix[rows[part], at[part] - begin] = 1
+        yield values[begin : begin + chunk], matrix
+
+
+def solved(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of large regions that can link, by windows and by the bound on common shingles.
+
+    A region's members are dealt to blocks, and every two blocks are solved as matrices in a task of their own. A
+    pair that several regions share is given by the first of them."""
+    eps = 1 - percent / 100 + 1e-9
+    own = rows.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("regions"))
+    blocks = F.ceil(F.col("k") / BLOCK)
+    members = rows.join(own, "node").join(nodes.select("node", "prefix"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "k")
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        region, i, j = (int(k.as_py()) for k in key)
+        node, n, comp, low, high, block = (table[c].to_numpy() for c in ("node", "n", "comp", "low", "high", "block"))
+        prefix = table["prefix"].combine_chunks()
+        ends = np.asarray(prefix.offsets)
+        flat = np.asarray(prefix.flatten())
+        base = int(ends[0])
+        parts = [flat[a - base : b - base] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        last = np.array([p[-1] for p in parts])
+        most = np.zeros((len(node), len(node)), dtype=np.float32)
+        for _, matrix in _incidence(prefix):
+            most += matrix @ matrix.T
+        rest = np.stack([size - np.searchsorted(p, last, side="right") for p, size in zip(parts, n, strict=True)]).astype(np.float32)
+        most += np.minimum(rest, rest.T)
+        both = n[:, None] + n[None, :]
+        good = (100 * most >= percent * (both - most)) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+        good &= (comp[:, None] != comp[None, :]) & (node[:, None] < node[None, :])
+        good &= (low[:, None] <= high[None, :] + eps) & (low[None, :] <= high[:, None] + eps)
+        if i != j:
+            good &= block[:, None] != block[None, :]
+        a, b = np.nonzero(good)
+        first = np.ones(len(a), dtype=bool)
+        for values, matrix in _incidence(table["regions"], 512):
+            if values[0] < region:
+                matrix = matrix[:, values < region].astype(bool)
+                for at in range(0, len(a), 20_000):
+                    part = slice(at, at + 20_000)
+                    first[part] &= ~(matrix[a[part]] & matrix[b[part]]).any(axis=1)
+        return pa.table({"a": node[a[first]], "b": node[b[first]]})
+
+    return members.groupBy("s", "i", "j").applyInArrow(solve, "a long, b long")
+
+
+def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows with their node's component, itself if it has no links."""
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,)) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     texts = docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     order = spark.sparkContext.broadcast(common_shingles(texts, size))
     profile = stored(profiles(texts, size, percent, order), "profiles")
-    nodes = profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = nodes.select("node", "doc", "n", F.explode("prefix").alias("s"))
-    regions = posts.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    rows = stored(posts.join(regions, "s"), "regions")
-    owners = stored(rows.select("node", "doc").distinct(), "owners")
-    sets = stored(sets_of(texts, size, owners), "sets") if not owners.isEmpty() else owners.select("node", F.array().cast("array<long>").alias("shingles"))
+    nodes = stored(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    posts = nodes.select("node", F.explode("prefix").alias("s"))
+    regions = posts.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    rows = posts.join(regions, "s").join(nodes.select("node", "n"), "node")
+    # Partners are at least ``percent`` of each other's size, so both together leave at most the smaller one's spare.
+    leave = F.floor(F.floor(F.col("n") * SPARE / 100) * percent / 200)
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "s"))
+    rows = stored(rows.withColumn("place", place).where((F.col("place") > leave) | (F.col("k") <= CROWDED)).select("s", "node", "n"), "regions")
+    verify = Verifier(texts, nodes, size, percent)
+    eps = 1 - percent / 100 + 1e-9
     near = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
-    links, comps = None, None
-    for _ in range(levels):
-        pivots = rows.groupBy("s").agg(F.min("node").alias("pivot"))
-        sizes = rows.select(F.col("node").alias("pivot"), F.col("n").alias("p_n")).distinct()
-        placed = stored(rows.select("s", "node", "doc", "n").join(pivots.join(sizes, "pivot"), "s").where("node <> pivot"), "placed")
-        star = stored(distances(placed.where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets), "star")
-        new = star.where(linked(percent)).select("a", "b")
-        links = new if links is None else links.union(new)
+
+    # First one pivot for each region; it is compared with all members.
+    pivot = rows.groupBy("s").agg(F.min("node").alias("pivot"))
+    sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("p_n"))
+    placed = stored(rows.join(pivot, "s").where("node <> pivot").join(sizes, "pivot"), "placed")
+    star = verify(placed.where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    links = star.where(linked(percent)).select("a", "b")
+    comps = components(links)
+    # What is known of each member's distance to its pivot: exact, or a bound from below by common shingles or sizes.
+    known = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("1 - common / (n_a + n_b - common)").alias("d"), F.expr("1 - most / (n_a + n_b - most)").alias("far"))
+    placed = placed.join(known, ["pivot", "node"], "left").withColumn("low", F.coalesce("d", "far", F.expr("1 - least(n, p_n) / greatest(n, p_n)"))).withColumn("high", F.coalesce("d", F.lit(1.0)))
+    placed = stored(with_components(placed.select("s", "node", "n", "low", "high"), comps), "placed")
+    out = F.min(F.when(F.expr(f"high > {eps}"), F.col("low"))).alias("out")
+    open_ = placed.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), out).where("x <> y").select("s", "out")
+    rows = stored(placed.join(open_, "s").where(f"out IS NULL OR high + {eps} >= out").drop("out"), "regions")
+
+    columns = ("node", "n", "comp", "low", "high")
+    left = lambda df: df.select("s", *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = lambda df: df.select("s", *[F.col(c).alias(f"b_{c}") for c in columns])
+    window = f"a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND a_low <= b_high + {eps} AND b_low <= a_high + {eps}"
+    pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+    for number in pivots:  # then several, for what is still apart
+        chosen = rows.groupBy("s").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(number)])
+        chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(number)]))).alias("node"))
+        met = left(rows.join(chosen, ["s", "node"])).join(right(rows), "s").where(window)
+        new = stored(verify(met.select(*pair).distinct()).where(linked(percent)).select("a", "b"), "links")
+        if new.isEmpty():
+            continue
+        links = links.union(new)
         comps = components(links)
-        placed = placed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        away = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("1 - common / (n_a + n_b - common)").alias("d"))
-        placed = placed.join(away, ["pivot", "node"], "left")
-        # Beyond the window of sizes the distance is at least 1 - smaller / larger.
-        placed = stored(placed.withColumn("low", F.coalesce("d", F.expr("1 - least(n, p_n) / greatest(n, p_n)"))).withColumn("high", F.coalesce("d", F.lit(1.0))), "placed")
-        open_ = placed.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.when(F.expr(f"high > {1 - percent / 100 - 1e-9}"), F.col("low"))).alias("out")).where("x <> y").select("s", "out")
-        rows = placed.join(open_, "s").where(f"out IS NULL OR high + {1 - percent / 100 + 1e-9} >= out")
-        rows = stored(rows.select("s", "node", "doc", "n", "comp", "low", "high"), "regions")
-    left = rows.select("s", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "comp", "low", "high")])
-    right = rows.select("s", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp", "low", "high")])
-    eps = 1 - percent / 100 + 1e-9
-    met = left.join(right, "s").where(f"a_node < b_node AND a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND a_low <= b_high + {eps} AND b_low <= a_high + {eps}")
-    rest = distances(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets).where(linked(percent)).select("a", "b")
-    rest = stored(rest, "links")
+        rows = with_components(rows.drop("comp"), comps)
+        open_ = rows.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
+        rows = stored(rows.join(open_, "s"), "regions")
+    sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s")  # and last, all that can still link
+    small = sized.where(F.col("k") <= LARGE)
+    met = left(small).join(right(small), "s").where(f"a_node < b_node AND {window}").select(*pair)
+    met = met.union(solved(sized.where(F.col("k") > LARGE), nodes, percent))
+    rest = verify(met.distinct()).where(linked(percent)).select("a", "b")
     if not rest.isEmpty():
         comps = components(links.union(rest))
     named = nodes.select("node", "doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
