@@ -29,8 +29,8 @@ from .common import quoted, text_of, without
 class Rule:
     """``group`` of a match must have ``least`` characters or more. A changed rule needs a new version.
 
-    ``words``: of these, in lower case, one at least is in every text with a match; without any, ``screen`` is a
-    pattern that is quick to look for. They only spare the search where nothing can be found."""
+    ``words``: of these one at least is in every text with a match; without any, ``screen`` is a pattern that is
+    quick to look for and found in each. They only spare the search where nothing can be found."""
 
     kind: str
     pattern: str
@@ -45,36 +45,34 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
-#: The base rules, in the order in which equal starts are listed.
+#: The base rules, in the order in which equal starts are listed. The least lengths of ``access`` and
+#: ``hex`` are part of the patterns: a run that is too short would be matched whole and dropped, so nothing differs.
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, words=("password", "passwd", "secret", "token", "apikey", "api_key")),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, words=("akia",)),
-    Rule("hex", r"[0-9a-f]+", 0, 24, screen=r"[0-9a-f]{24}"),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, screen=r"""[pPsStTaA](?i:assword|asswd|ecret|oken|pi_?key)["']?\x20*[:=]"""),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, words=("AKIA",)),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, screen=r"[0-9a-f]{24}"),
 )
 #: What the method adds, by the public forms of the tokens.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", words=("private key-----",)),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", words=("PRIVATE KEY-----",)),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, words=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, words=("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, words=("aiza",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, words=("eyj",)),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, words=("AIza",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, words=("eyJ",)),
     Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", words=("://",)),
 )
 RULES = BASE + MORE
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def may_match(rule: Rule, text: Column, lowered: Column) -> Column:
-    """False only where the rule can't match; ``lowered`` is the text in lower case."""
+def may_match(rule: Rule, text: Column) -> Column:
+    """False only where the rule can't match."""
     if rule.words:
-        found = lowered.contains(rule.words[0])
-        for word in rule.words[1:]:
-            found = found | lowered.contains(word)
-        return found
+        return reduce(or_, [text.contains(word) for word in rule.words])
     return text.rlike(rule.screen or rule.pattern)
 
 
-def spans_of(rule: Rule, order: int, text: Column, lowered: Column) -> Column:
+def spans_of(rule: Rule, order: int, text: Column) -> Column:
     """The rule's spans in a text; ``order`` is the kind's place among the rules."""
     pattern = F.lit(rule.pattern)
     parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("p"))
@@ -87,10 +85,13 @@ def spans_of(rule: Rule, order: int, text: Column, lowered: Column) -> Column:
         out = F.when(F.length(part["g"][i]) >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(part.alias("part"), end.alias("at"), out.alias("out"))
 
-    none = F.lit(None).cast(SPANS)
     empty = F.array().cast(SPANS)
-    found = F.transform(F.array(parts), lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), F.struct(p.alias("part"), F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"]))[0]
-    return F.when(may_match(rule, text, lowered), found).otherwise(F.coalesce(none, empty))
+
+    def positions(p: Column) -> Column:
+        start = F.struct(p.alias("part"), F.lit(0).alias("at"), empty.alias("out"))
+        return F.when(F.size(p["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), start, step, lambda s: s["out"])).otherwise(empty)
+
+    return F.when(may_match(rule, text), F.transform(F.array(parts), positions)[0]).otherwise(empty)
 
 
 class Ledger:
@@ -119,8 +120,7 @@ class Ledger:
             blobs = blobs.where(F.size("todo") > 0)
         else:
             blobs = blobs.withColumn("todo", keys)
-        blobs = blobs.withColumn("lowered", F.lower("text"))
-        found = [F.when(F.array_contains("todo", r.key), spans_of(r, i, F.col("text"), F.col("lowered"))).otherwise(F.array().cast(SPANS)) if past is not None else spans_of(r, i, F.col("text"), F.col("lowered")) for i, r in enumerate(self.rules)]
+        found = [F.when(F.array_contains("todo", r.key), spans_of(r, i, F.col("text"))).otherwise(F.array().cast(SPANS)) if past is not None else spans_of(r, i, F.col("text")) for i, r in enumerate(self.rules)]
         blobs.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans")).write.parquet(f"{self.path}/scan-{uuid.uuid4().hex}")
 
     def scan(self, versions: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -132,8 +132,7 @@ class Ledger:
         found = found.groupBy(F.col("blob").alias("__found")).agg(F.array_sort(F.collect_set("s")).alias("__spans"))
         # Paths whose text no rule can match have no findings, and needn't be moved to be joined with any.
         rows = without(versions, out)
-        lowered = F.lower(text_of(versions, text))
-        suspect = reduce(or_, [may_match(r, text_of(versions, text), lowered) for r in self.rules])
+        suspect = reduce(or_, [may_match(r, text_of(versions, text)) for r in self.rules])
         joined = rows.where(suspect).withColumn("__blob", F.sha2(text_of(versions, text), 256)).join(found, F.col("__blob") == F.col("__found"), "left")
         joined = joined.withColumn(out, F.coalesce("__spans", F.array().cast(SPANS))).drop("__blob", "__found", "__spans")
         return joined.unionByName(rows.where(~suspect).withColumn(out, F.array().cast(SPANS)))
