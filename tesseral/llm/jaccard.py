@@ -218,10 +218,11 @@ class Verifier:
         self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
         self.sets: DataFrame | None = None
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, n_a, n_b, most, common) of each pair; ``common`` is null where ``most`` rules a link out."""
-        bounded = stored(hopeful(pairs, self.nodes, self.percent), "bounded")
-        close = bounded.where(linked(self.percent, "most"))
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        return stored(hopeful(pairs, self.nodes, self.percent), "bounded")
+
+    def exact(self, close: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, common) of each pair."""
         nodes = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
@@ -230,9 +231,15 @@ class Verifier:
             more = stored(sets_of(self.texts, self.size, wanted), "sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
         if self.sets is None:
-            return bounded.withColumn("common", F.lit(None).cast("long"))
-        left, right = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
-        common = close.select("a", "b").join(right, "b").join(left, "a").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+            return self.texts.sparkSession.createDataFrame([], "a long, b long, n_a int, n_b int, common long")
+        left, right = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+        both = close.select("a", "b").join(right, "b").join(left, "a")
+        return both.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, most, common) of each pair; ``common`` is null where ``most`` rules a link out."""
+        bounded = self.bounded(pairs)
+        common = self.exact(bounded.where(linked(self.percent, "most"))).select("a", "b", "common")
         return stored(bounded.join(common, ["a", "b"], "left"), "star")
 
 
@@ -372,9 +379,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         rows = stored(rows.join(open_, "s"), "regions")
     sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s")  # and last, all that can still link
     small = sized.where(F.col("k") <= LARGE)
-    met = left(small).join(right(small), "s").where(f"a_node < b_node AND {window}").select(*pair)
-    met = met.union(solved(sized.where(F.col("k") > LARGE), nodes, percent))
-    rest = verify(met.distinct()).where(linked(percent)).select("a", "b")
+    met = left(small).join(right(small), "s").where(f"a_node < b_node AND {window}").select(*pair).distinct()
+    close = verify.bounded(met).where(linked(percent, "most")).select("a", "b")
+    close = stored(close.union(solved(sized.where(F.col("k") > LARGE), nodes, percent)).distinct(), "close")
+    rest = verify.exact(close).where(linked(percent)).select("a", "b")
     if not rest.isEmpty():
         comps = components(links.union(rest))
     named = nodes.select("node", "doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
