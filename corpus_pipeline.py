@@ -15,6 +15,9 @@ from tesseral.llm.queries import END_ID, LANGUAGE_FOLDS, TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go."""
@@ -25,7 +28,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id."""
-    classes = jaccard.classes(docs.select("doc_id", "text"))
+    classes = jaccard.classes(docs.select("doc_id", "text"), size=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
