@@ -1,15 +1,15 @@
 """Language-model scores by context-tree weighting over bytes, each taken as eight binary decisions.
 
 The decisions of a byte form a binary tree (255 partial bytes). Each partial byte has a context tree over the
-``DEPTH`` bytes before it. A node that has seen n0 zeros and n1 ones estimates them by Krichevsky-Trofimov;
-its weighted probability is half that, plus half the product of its children's, so all depths are mixed by how
-well they have done on the training texts. A text's code is that of its bytes, A-Z lower-cased, then of one end
-mark; contexts before the start hold end marks.
+``depth`` bytes before it (``DEPTH`` by default; 7 at most, as a gram is one 64-bit key). A node that has seen n0
+zeros and n1 ones estimates them by Krichevsky-Trofimov; its weighted probability is half that, plus half the
+product of its children's, so all depths are mixed by how well they have done on the training texts. A text's code
+is that of its bytes, A-Z lower-cased, then of one end mark; contexts before the start hold end marks.
 
 Counts depend on the set of training texts only, not their order, so they are gathered in parallel: documents
 are dealt to chunks of about ``chunk_bytes``; each chunk gives its distinct (context, byte) grams and words with
-their training counts. Trees are solved in partitions by the last two context bytes, the top of the tree (at
-most 255 * 257 nodes) on the driver. Each chunk gets back just the probabilities of its own grams and words, so
+their training counts. Trees are solved in partitions by the last ``local`` context bytes, the top of the tree
+(at most 255 * 257 nodes for two bytes) on the driver. Each chunk gets back just the probabilities of its own grams and words, so
 no task and no broadcast holds the whole model.
 
 Defined results: null texts count as empty (an end mark alone); rows with a null doc_id are scored like others;
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import partitions, quoted, ship, slices, stored, text_of
 
-DEPTH = 4
+DEPTH = 6
 END = 0xFF  # occurs in no UTF-8 text
 GRAM, WORD = 0, 1
 END_WORD = b"\xff"
 CHUNK_BYTES = 32 << 20
-_LOCAL = 2  # depth of the context that names a partition
+LOCAL = 2  # depth of the context that names a partition
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -50,25 +50,25 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def grams_of(texts: list[bytes]) -> np.ndarray:
+def grams_of(texts: list[bytes], depth: int) -> np.ndarray:
     """The gram that ends at each byte of each text and at its end mark: context and byte, oldest byte first."""
-    pad = bytes([END]) * DEPTH
+    pad = bytes([END]) * depth
     data = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), dtype=np.uint8)
-    out = np.zeros(len(data) - DEPTH, dtype=np.uint64)
-    for i in range(DEPTH + 1):
-        out = (out << np.uint64(8)) | data[i : len(data) - DEPTH + i]
+    out = np.zeros(len(data) - depth, dtype=np.uint64)
+    for i in range(depth + 1):
+        out = (out << np.uint64(8)) | data[i : len(data) - depth + i]
     sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
-    keep = np.ones(len(out) + DEPTH, dtype=bool)
-    for i in range(1, DEPTH + 1):  # grams that would end in the padding of the next text
+    starts = np.cumsum(sizes + depth) - (sizes + depth)
+    keep = np.ones(len(out) + depth, dtype=bool)
+    for i in range(1, depth + 1):  # grams that would end in the padding of the next text
         keep[starts[1:] - i] = False
     return out[keep[: len(out)]]
 
 
 class Levels:
-    """The nodes of depths ``low`` to DEPTH over some grams, each gram's node at each depth and bit, and weights."""
+    """The nodes of depths ``low`` to ``depth`` over some grams, each gram's node at each depth and bit, and weights."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: int, depth: int):
         bits = np.arange(8, dtype=np.uint64)
         symbol = grams & np.uint64(0xFF)
         prefix = (np.uint64(1) << bits) | (symbol[:, None] >> (np.uint64(8) - bits))
@@ -76,13 +76,13 @@ class Levels:
         weight = np.broadcast_to(counts[:, None].astype(np.float64), self.one.shape).ravel()
         ones = self.one.ravel()
         self.keys, self.at, self.zeros, self.ones, self.log_pw, self.stop = {}, {}, {}, {}, {}, {}
-        for d in range(DEPTH, low - 1, -1):
+        for d in range(depth, low - 1, -1):
             context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
             keys, at = np.unique(((context[:, None] << np.uint64(8)) | prefix).ravel(), return_inverse=True)
             n1 = np.bincount(at, weight * ones, len(keys))
             n0 = np.bincount(at, weight * ~ones, len(keys))
             below = None
-            if d < DEPTH:
+            if d < depth:
                 parent = np.searchsorted(keys, self.keys[d + 1] & np.uint64((1 << (8 * d + 8)) - 1))
                 below = np.bincount(parent, self.log_pw[d + 1], len(keys))
             self.keys[d], self.at[d], self.zeros[d], self.ones[d] = keys, at.reshape(self.one.shape), n0, n1
@@ -107,7 +107,7 @@ def _word_hash(word: bytes) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(word))))
 
 
-def _keys(chunked: DataFrame) -> DataFrame:
+def _keys(chunked: DataFrame, depth: int) -> DataFrame:
     """(chunk, kind, key, n): the distinct grams and words of each chunk; ``n`` counts training texts only."""
 
     def merged(parts):
@@ -126,7 +126,7 @@ def _keys(chunked: DataFrame) -> DataFrame:
                 for flag in (False, True):
                     part = [t for t, i in zip(low, mine, strict=True) if held[i] is flag]
                     if part:
-                        keys, n = np.unique(grams_of(part), return_counts=True)
+                        keys, n = np.unique(grams_of(part, depth), return_counts=True)
                         grams.setdefault(c, []).append((keys, n * (not flag)))
                         counted = words.setdefault(c, Counter())
                         for t in part:
@@ -156,44 +156,46 @@ def _whole(batches):
     return pa.concat_tables(tables) if tables else None
 
 
-def gram_costs(counted: DataFrame) -> DataFrame:
+def gram_costs(counted: DataFrame, depth: int, local: int) -> DataFrame:
     """(key, cost): natural logarithm of each gram's last byte given the bytes before it."""
     spark = counted.sparkSession
-    local = counted.repartition(partitions(spark), F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * _LOCAL)) - 1)))
-    local = stored(local, "grams")  # read again in both directions
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * local)) - 1))
+    grams = stored(counted.repartition(partitions(spark), context), "grams")  # read again in both directions
 
     def by_context():
-        return local.repartition(partitions(spark), F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * _LOCAL)) - 1)))
+        return grams.repartition(partitions(spark), context)
 
     def up(batches):
         rows = _whole(batches)
         if rows is not None:
-            levels = Levels(rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), _LOCAL)
-            parts = [levels.keys[_LOCAL].view(np.int64), levels.zeros[_LOCAL], levels.ones[_LOCAL], levels.log_pw[_LOCAL]]
+            levels = Levels(rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), local, depth)
+            parts = [levels.keys[local].view(np.int64), levels.zeros[local], levels.ones[local], levels.log_pw[local]]
             yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["node", "n0", "n1", "below"])
 
     summary = by_context().mapInArrow(up, "node long, n0 double, n1 double, below double")
-    top = summary.groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas().sort_values("node")
-    node1 = top["node"].to_numpy(np.int64)
-    zeros1, ones1 = top["n0"].to_numpy(float), top["n1"].to_numpy(float)
-    log1, stop1 = weigh(zeros1, ones1, top["below"].to_numpy(float))
-    node0, at0 = np.unique(node1 & 0xFF, return_inverse=True)
-    zeros0, ones0, below0 = (np.bincount(at0, x, len(node0)) for x in (zeros1, ones1, log1))
-    _, stop0 = weigh(zeros0, ones0, below0)
-    shared = spark.sparkContext.broadcast([(node0, zeros0, ones0, stop0), (node1, zeros1, ones1, stop1)])
+    mask = F.lit((1 << (8 * local)) - 1)
+    top = summary.groupBy(F.col("node").bitwiseAND(mask).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas().sort_values("node")
+    node, zeros, ones, below = top["node"].to_numpy(np.int64), *(top[c].to_numpy(float) for c in ("n0", "n1", "below"))
+    tops = {}
+    for d in range(local - 1, -1, -1):
+        log_pw, stop = weigh(zeros, ones, below)
+        tops[d] = node, zeros, ones, stop
+        node, at = np.unique(node & ((1 << (8 * d)) - 1), return_inverse=True)
+        zeros, ones, below = (np.bincount(at, x, len(node)) for x in (zeros, ones, log_pw))
+    shared = spark.sparkContext.broadcast(tops)
 
     def down(batches):
         rows = _whole(batches)
         if rows is None:
             return
         keys = rows["key"].to_numpy().astype(np.uint64)
-        levels = Levels(keys, rows["n"].to_numpy(), _LOCAL)
-        p = levels.bit_probability(DEPTH)
-        for d in range(DEPTH - 1, _LOCAL - 1, -1):
+        levels = Levels(keys, rows["n"].to_numpy(), local, depth)
+        p = levels.bit_probability(depth)
+        for d in range(depth - 1, local - 1, -1):
             stop = levels.stop[d][levels.at[d]]
             p = stop * levels.bit_probability(d) + (1 - stop) * p
-        node2 = levels.keys[_LOCAL][levels.at[_LOCAL]].astype(np.int64)
-        for d in (1, 0):
+        node2 = levels.keys[local][levels.at[local]].astype(np.int64)
+        for d in range(local - 1, -1, -1):
             nodes, zeros, ones, stops = shared.value[d]
             at = np.searchsorted(nodes, node2 & ((1 << (8 * d + 8)) - 1))
             own = (np.where(levels.one, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1.0)
@@ -203,17 +205,19 @@ def gram_costs(counted: DataFrame) -> DataFrame:
     return by_context().mapInArrow(down, "key long, cost double")
 
 
-def score(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, depth: int = DEPTH, local: int = LOCAL) -> DataFrame:
     """(doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``;
     rows whose column ``held_out`` is true are not learned from. Scores are decimal logarithms."""
+    if not 1 <= local < depth <= 7:
+        raise ValueError("1 <= local < depth <= 7 must hold")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(held_out), F.lit(False)).alias("held_out"), text_of(docs, text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    keys = stored(_keys(chunked.repartition(chunks, "chunk")), "keys")
-    costs = gram_costs(keys.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")))
+    keys = stored(_keys(chunked.repartition(chunks, "chunk"), depth), "keys")
+    costs = gram_costs(keys.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), depth, local)
     by_gram = keys.where(F.col("kind") == GRAM).select("chunk", "kind", "key").join(costs, "key").select("chunk", "kind", "key", "cost")
     by_word = keys.where(F.col("kind") == WORD).withColumn("total", F.sum("n").over(W.partitionBy("key")))
     by_word = by_word.select("chunk", "kind", "key", F.col("total").cast("double").alias("cost"))
@@ -233,7 +237,8 @@ def score(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "t
         for batch in slices(left.select(["text"]).to_batches()):
             texts = [t.encode("utf-8", "surrogatepass").lower() for t in batch.column(0).to_pylist()]
             sizes = np.array([len(t) + 1 for t in texts])
-            found = gram_cost[np.searchsorted(grams, grams_of(texts))]
+            once, at = np.unique(grams_of(texts, depth), return_inverse=True)
+            found = gram_cost[np.searchsorted(grams, once)][at]
             columns["score"].append(np.add.reduceat(found, np.cumsum(sizes) - sizes) / np.log(10))
             columns["n_bytes"].append(sizes - 1)
             for t in texts:
