@@ -9,7 +9,7 @@ is that of its bytes, A-Z lower-cased, then of one end mark; contexts before the
 Counts depend on the set of training texts only, not their order, so they are gathered in parallel: documents
 are dealt to chunks of about ``chunk_bytes``; each chunk gives its distinct (context, byte) grams and words with
 their training counts. Trees are solved in partitions by the last ``local`` context bytes, the top of the tree
-(at most 255 * 257 nodes for two bytes) on the driver. Each chunk gets back just the probabilities of its own grams and words, so
+(at most 255 * 257**2 nodes for three bytes) on the driver. Each chunk gets back just the probabilities of its own grams and words, so
 no task and no broadcast holds the whole model.
 
 Defined results: null texts count as empty (an end mark alone); rows with a null doc_id are scored like others;
@@ -34,7 +34,8 @@ END = 0xFF  # occurs in no UTF-8 text
 GRAM, WORD = 0, 1
 END_WORD = b"\xff"
 CHUNK_BYTES = 32 << 20
-LOCAL = 2  # depth of the context that names a partition
+LOCAL = 3  # depth of the context that names a partition
+PIECE = 1 << 16  # grams whose trees are solved at once, unless one context alone has more
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -111,9 +112,16 @@ def _keys(chunked: DataFrame, depth: int) -> DataFrame:
     """(chunk, kind, key, n): the distinct grams and words of each chunk; ``n`` counts training texts only."""
 
     def merged(parts):
-        keys = np.concatenate([k for k, _ in parts])
-        found, at = np.unique(keys, return_inverse=True)
-        return found, np.bincount(at, np.concatenate([n for _, n in parts]), len(found)).astype(np.int64)
+        """One part out of several, a range of keys at a time, so that little is held beside them."""
+        largest = max((k for k, _ in parts), key=len)
+        edges = largest[:: max(1, len(largest) // 16)][1:]
+        cuts = [[0, *np.searchsorted(k, edges), len(k)] for k, _ in parts]
+        out = []
+        for i in range(len(edges) + 1):
+            ranges = [(k[c[i] : c[i + 1]], n[c[i] : c[i + 1]]) for (k, n), c in zip(parts, cuts, strict=True)]
+            found, at = np.unique(np.concatenate([k for k, _ in ranges]), return_inverse=True)
+            out.append((found, np.bincount(at, np.concatenate([n for _, n in ranges]), len(found)).astype(np.int32)))
+        return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out])
 
     def run(batches):
         grams: dict[int, list] = {}
@@ -127,7 +135,7 @@ def _keys(chunked: DataFrame, depth: int) -> DataFrame:
                     part = [t for t, i in zip(low, mine, strict=True) if held[i] is flag]
                     if part:
                         keys, n = np.unique(grams_of(part, depth), return_counts=True)
-                        grams.setdefault(c, []).append((keys, n * (not flag)))
+                        grams.setdefault(c, []).append((keys, (n * (not flag)).astype(np.int32)))
                         counted = words.setdefault(c, Counter())
                         for t in part:
                             if flag:
@@ -146,7 +154,7 @@ def _keys(chunked: DataFrame, depth: int) -> DataFrame:
             for kind, k, v in ((GRAM, keys.view(np.int64), n), (WORD, codes, times)):
                 for at in range(0, len(k), 100_000):
                     part, value = k[at : at + 100_000], v[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(value)], names=["chunk", "kind", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(value, pa.int64())], names=["chunk", "kind", "key", "n"])
 
     return chunked.select("chunk", "held_out", "text").mapInArrow(run, "chunk int, kind byte, key long, n long")
 
@@ -156,23 +164,40 @@ def _whole(batches):
     return pa.concat_tables(tables) if tables else None
 
 
-def gram_costs(counted: DataFrame, depth: int, local: int) -> DataFrame:
-    """(key, cost): natural logarithm of each gram's last byte given the bytes before it."""
-    spark = counted.sparkSession
-    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * local)) - 1))
-    grams = stored(counted.repartition(partitions(spark), context), "grams")  # read again in both directions
+def _pieces(keys: np.ndarray, local: int):
+    """Sorted distinct grams and the places of ``keys`` among them, piece by piece: a context is in one piece."""
+    found, at = np.unique(keys, return_inverse=True)
+    context = (found >> np.uint64(8)) & np.uint64((1 << (8 * local)) - 1)
+    order = np.argsort(context, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(context[order])) + 1, len(order))
+    begin = 0
+    cuts = []
+    for last, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        if end - begin > PIECE and last > begin:
+            cuts.append((begin, last))
+            begin = last
+    cuts.append((begin, len(order)))
+    return found, at, [order[a:b] for a, b in cuts]
 
-    def by_context():
-        return grams.repartition(partitions(spark), context)
+
+def gram_costs(keys: DataFrame, depth: int, local: int) -> DataFrame:
+    """(chunk, key, cost) for each (chunk, key, n): natural logarithm of the gram's last byte given those before it."""
+    spark = keys.sparkSession
+
+    def by_context(columns):
+        return keys.select(*columns).repartition(partitions(spark), F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * local)) - 1)))
 
     def up(batches):
         rows = _whole(batches)
         if rows is not None:
-            levels = Levels(rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), local, depth)
-            parts = [levels.keys[local].view(np.int64), levels.zeros[local], levels.ones[local], levels.log_pw[local]]
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["node", "n0", "n1", "below"])
-
-    summary = by_context().mapInArrow(up, "node long, n0 double, n1 double, below double")
+            found, at, pieces = _pieces(rows["key"].to_numpy().view(np.uint64), local)
+            times = np.bincount(at, rows["n"].to_numpy(), len(found))
+            for piece in pieces:
+                levels = Levels(found[piece], times[piece], local, depth)
+                parts = [levels.keys[local].view(np.int64), levels.zeros[local], levels.ones[local], levels.log_pw[local]]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["node", "n0", "n1", "below"])
+
+    summary = by_context(["key", "n"]).mapInArrow(up, "node long, n0 double, n1 double, below double")
     mask = F.lit((1 << (8 * local)) - 1)
     top = summary.groupBy(F.col("node").bitwiseAND(mask).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas().sort_values("node")
     node, zeros, ones, below = top["node"].to_numpy(np.int64), *(top[c].to_numpy(float) for c in ("n0", "n1", "below"))
@@ -188,21 +213,28 @@ def gram_costs(counted: DataFrame, depth: int, local: int) -> DataFrame:
         rows = _whole(batches)
         if rows is None:
             return
-        keys = rows["key"].to_numpy().astype(np.uint64)
-        levels = Levels(keys, rows["n"].to_numpy(), local, depth)
-        p = levels.bit_probability(depth)
-        for d in range(depth - 1, local - 1, -1):
-            stop = levels.stop[d][levels.at[d]]
-            p = stop * levels.bit_probability(d) + (1 - stop) * p
-        node2 = levels.keys[local][levels.at[local]].astype(np.int64)
-        for d in range(local - 1, -1, -1):
-            nodes, zeros, ones, stops = shared.value[d]
-            at = np.searchsorted(nodes, node2 & ((1 << (8 * d + 8)) - 1))
-            own = (np.where(levels.one, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1.0)
-            p = stops[at] * own + (1 - stops[at]) * p
-        yield pa.RecordBatch.from_arrays([rows["key"].combine_chunks(), pa.array(np.log(p).sum(axis=1))], names=["key", "cost"])
-
-    return by_context().mapInArrow(down, "key long, cost double")
+        found, at, pieces = _pieces(rows["key"].to_numpy().view(np.uint64), local)
+        times = np.bincount(at, rows["n"].to_numpy(), len(found))
+        cost = np.empty(len(found))
+        for piece in pieces:
+            levels = Levels(found[piece], times[piece], local, depth)
+            p = levels.bit_probability(depth)
+            for d in range(depth - 1, local - 1, -1):
+                stop = levels.stop[d][levels.at[d]]
+                p = stop * levels.bit_probability(d) + (1 - stop) * p
+            node = levels.keys[local][levels.at[local]].astype(np.int64)
+            for d in range(local - 1, -1, -1):
+                nodes, zeros, ones, stops = shared.value[d]
+                place = np.searchsorted(nodes, node & ((1 << (8 * d + 8)) - 1))
+                own = (np.where(levels.one, ones[place], zeros[place]) + 0.5) / (zeros[place] + ones[place] + 1.0)
+                p = stops[place] * own + (1 - stops[place]) * p
+            cost[piece] = np.log(p).sum(axis=1)
+        chunk, key = rows["chunk"].to_numpy(), rows["key"].to_numpy()
+        for begin in range(0, len(at), 100_000):
+            part = slice(begin, begin + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[part]), pa.array(key[part]), pa.array(cost[at[part]])], names=["chunk", "key", "cost"])
+
+    return by_context(["chunk", "key", "n"]).mapInArrow(down, "chunk int, key long, cost double")
 
 
 def score(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, depth: int = DEPTH, local: int = LOCAL) -> DataFrame:
@@ -217,8 +249,7 @@ def score(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "t
     chunks = max(1, -(-size // chunk_bytes))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     keys = stored(_keys(chunked.repartition(chunks, "chunk"), depth), "keys")
-    costs = gram_costs(keys.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), depth, local)
-    by_gram = keys.where(F.col("kind") == GRAM).select("chunk", "kind", "key").join(costs, "key").select("chunk", "kind", "key", "cost")
+    by_gram = gram_costs(keys.where(F.col("kind") == GRAM), depth, local).select("chunk", F.lit(GRAM).cast("byte").alias("kind"), "key", "cost")
     by_word = keys.where(F.col("kind") == WORD).withColumn("total", F.sum("n").over(W.partitionBy("key")))
     by_word = by_word.select("chunk", "kind", "key", F.col("total").cast("double").alias("cost"))
     totals = keys.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
