@@ -34,6 +34,7 @@ END = 0xFF  # occurs in no UTF-8 text
 GRAM, WORD = 0, 1
 END_WORD = b"\xff"
 CHUNK_BYTES = 32 << 20
+HELD = 3_000_000  # grams that a task holds before it gives them out; a chunk may then give one twice
 LOCAL = 3  # depth of the context that names a partition
 PIECE = 1 << 16  # grams whose trees are solved at once, unless one context alone has more
 
@@ -123,6 +124,11 @@ def _keys(chunked: DataFrame, depth: int) -> DataFrame:
             out.append((found, np.bincount(at, np.concatenate([n for _, n in ranges]), len(found)).astype(np.int32)))
         return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out])
 
+    def rows_of(c, kind, k, v):
+        for at in range(0, len(k), 100_000):
+            part, value = k[at : at + 100_000], v[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(value, pa.int64())], names=["chunk", "kind", "key", "n"])
+
     def run(batches):
         grams: dict[int, list] = {}
         words: dict[int, Counter] = {}
@@ -146,15 +152,20 @@ def _keys(chunked: DataFrame, depth: int) -> DataFrame:
                         counted[END_WORD] += 0 if flag else len(part)
                 if len(grams[c]) >= 16:
                     grams[c] = [merged(grams[c])]
-        for c in grams:
-            keys, n = merged(grams[c])
+            if sum(len(k) for parts in grams.values() for k, _ in parts) > HELD:
+                grams = {c: [merged(parts)] for c, parts in grams.items() if parts}
+                if sum(len(parts[0][0]) for parts in grams.values()) > HELD // 2:
+                    for c, parts in grams.items():
+                        yield from rows_of(c, GRAM, parts[0][0].view(np.int64), parts[0][1])
+                    grams = {}
+        for c, parts in grams.items():
+            keys, n = merged(parts)
+            yield from rows_of(c, GRAM, keys.view(np.int64), n)
+        for c in words:
             counted = words[c]
             codes = np.fromiter(map(_word_hash, counted), np.int64, len(counted))
             times = np.fromiter(counted.values(), np.int64, len(counted))
-            for kind, k, v in ((GRAM, keys.view(np.int64), n), (WORD, codes, times)):
-                for at in range(0, len(k), 100_000):
-                    part, value = k[at : at + 100_000], v[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c, np.int32)), pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(value, pa.int64())], names=["chunk", "kind", "key", "n"])
+            yield from rows_of(c, WORD, codes, times)
 
     return chunked.select("chunk", "held_out", "text").mapInArrow(run, "chunk int, kind byte, key long, n long")
 
