@@ -148,6 +148,7 @@ def profiles(texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
         make, level_of = Shingler(size), levels.value
         for batch in slices(batches):
             nodes, sizes, prefixes = [], [], []
+            keys = [batch.column(2)] if batch.num_columns > 2 else []
             for s in make(batch.column(1).to_pylist()):
                 sizes.append(len(s))
                 nodes.append(set_name(s) if len(s) else None)
@@ -156,11 +157,11 @@ def profiles(texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
                 prefixes.append(order[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))],
-                names=["doc_id", "node", "n", "prefix"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))), *keys],
+                names=["doc_id", "node", "n", "prefix", *["text_key" for _ in keys]],
             )
 
-    return texts.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>" + (", text_key string" if "text_key" in texts.columns else ""))
 
 
 def _bloom_places(doc: np.ndarray) -> np.ndarray:
@@ -326,11 +327,15 @@ def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,)) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity."""
+def placed_in_regions(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, keyed: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The texts, their profiles, the nodes, and (s, node, n): each node in its regions. Linked nodes share one.
+
+    With ``keyed`` texts and profiles also have ``text_key``, the text's SHA-256."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     texts = docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+    if keyed:
+        texts = texts.withColumn("text_key", F.sha2("text", 256))
     order = spark.sparkContext.broadcast(common_shingles(texts, size))
     profile = stored(profiles(texts, size, percent, order), "profiles")
     nodes = stored(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
@@ -341,6 +346,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     leave = F.floor(F.floor(F.col("n") * SPARE / 100) * percent / 200)
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "s"))
     rows = stored(rows.withColumn("place", place).where((F.col("place") > leave) | (F.col("k") <= CROWDED)).select("s", "node", "n"), "regions")
+    return texts, profile, nodes, rows
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,)) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity."""
+    texts, profile, nodes, rows = placed_in_regions(docs, doc_id, text, size, percent, False)
     verify = Verifier(texts, nodes, size, percent)
     eps = 1 - percent / 100 + 1e-9
     near = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
@@ -389,3 +400,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     labelled = named.join(smallest, "comp").select("node", "component_id")
     return profile.select("doc_id", "node", "n").join(labelled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, n_links), one row for each row of ``docs``: with how many other documents it links.
+
+    The whole join: every pair of nodes that share a region and can link is verified, within components too. Copies
+    count by how many documents they are; rows that share a doc_id and a text are one."""
+    texts, profile, nodes, rows = placed_in_regions(docs, doc_id, text, size, percent, True)
+    verify = Verifier(texts, nodes, size, percent)
+    sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s")
+    small = sized.where(F.col("k") <= LARGE)
+    side = lambda x: small.select("s", F.col("node").alias(x), F.col("n").alias(f"{x}_n"))
+    met = side("a").join(side("b"), "s").where(f"a < b AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b").distinct()
+    close = verify.bounded(met).where(linked(percent, "most")).select("a", "b")
+    # Each node is a component of its own here and nothing is known of distances, so no pair is passed over.
+    large = sized.where(F.col("k") > LARGE).withColumn("comp", F.col("node")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0))
+    close = stored(close.union(solved(large, nodes, percent)).distinct(), "close")
+    pairs = stored(verify.exact(close).where(linked(percent)).select("a", "b"), "pairs")
+    copies = profile.where("n > 0").select("node", "doc_id", "text_key").distinct().groupBy("node").agg(F.count("*").alias("m"))
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    others = both.join(copies.select(F.col("node").alias("other"), "m"), "other").groupBy("node").agg(F.sum("m").alias("others"))
+    counted = copies.join(others, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return profile.join(counted, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

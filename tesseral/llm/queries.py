@@ -108,6 +108,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_voronoi_top5": op2_voronoi_top5,
@@ -119,6 +123,7 @@ QUERIES = {
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op10_jaccard_links": op10_jaccard_links,
 }
 
 SQL: dict[str, str] = {

@@ -6,6 +6,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from tesseral.llm import jaccard  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -57,3 +59,15 @@ def test_stage_joins_at_five_words_and_four_fifths(spark):
     texts = near_texts()
     assert kept(texts, 5, 80) != kept(texts, 4, 85)
     assert {i for i, _ in stage(spark, enumerate(texts))} == kept(texts, 5, 80)
+
+
+def test_links_inside_components_are_counted(spark):
+    texts = near_texts() + ["x y", "x y", "X  y", "", None]
+    texts += [f"{texts[0]} w{i}" for i in range(40)]  # a region that is solved in blocks
+    want = [0] * len(texts)
+    for i, j in brute_links(texts, 4, 85):
+        want[i] += 1
+        want[j] += 1
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(3)
+    rows = jaccard.link_counts(docs).collect()
+    assert sorted((r.doc_id, r.n_links) for r in rows) == sorted([*enumerate(want), (0, want[0])])
