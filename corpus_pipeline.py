@@ -27,10 +27,12 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id."""
-    classes = jaccard.classes(docs.select("doc_id", "text"), size=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near copies the document with the smallest doc_id, a null one last, then by text hash."""
+    classes = jaccard.classes(docs.select("doc_id", "text"), size=NEAR_WORDS, percent=NEAR_PERCENT, keyed=True)
+    gone = classes.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("__key", F.sha2(text_of(docs, "text"), 256))
+    same = rows["__key"].eqNullSafe(gone["__gone"]) & rows["doc_id"].eqNullSafe(gone["__id"])
+    return rows.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,9 +349,12 @@ def placed_in_regions(docs: DataFrame, doc_id: str, text: str, size: int, percen
     return texts, profile, nodes, rows
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,)) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity."""
-    texts, profile, nodes, rows = placed_in_regions(docs, doc_id, text, size, percent, False)
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,), keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity.
+
+    With ``keyed`` also ``text_key``, the text's SHA-256, and ``first``: whether the row is its component's document
+    with the smallest doc_id, null last, and then the smallest key."""
+    texts, profile, nodes, rows = placed_in_regions(docs, doc_id, text, size, percent, keyed)
     verify = Verifier(texts, nodes, size, percent)
     eps = 1 - percent / 100 + 1e-9
     near = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
@@ -397,9 +400,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     if not rest.isEmpty():
         comps = components(links.union(rest))
     named = nodes.select("node", "doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    labelled = named.join(smallest, "comp").select("node", "component_id")
-    return profile.select("doc_id", "node", "n").join(labelled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    if keyed:
+        named = named.join(profile.where("n > 0").groupBy("node").agg(F.min(document).alias("head")), "node")
+    smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"), *[F.min("head").alias("head") for _ in range(keyed)])
+    labelled = named.drop("head").join(smallest, "comp").drop("comp", "doc")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    extra = ["text_key", (F.col("head").isNull() | (F.col("head") == document)).alias("first")] if keyed else []
+    return profile.join(labelled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, *extra)
 
 
 def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

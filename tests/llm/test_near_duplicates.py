@@ -71,3 +71,12 @@ def test_links_inside_components_are_counted(spark):
     docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(3)
     rows = jaccard.link_counts(docs).collect()
     assert sorted((r.doc_id, r.n_links) for r in rows) == sorted([*enumerate(want), (0, want[0])])
+
+
+def test_stage_keeps_rows_by_id_and_text(spark):
+    near, other = "a b c d e f g h", "one two three four five six"
+    rows = [(1, near), (2, near), (2, other), (3, None), (None, "p q r s t u"), (None, "P  q r s t u"), (None, near), (4, "v w x y z"), (4, "V w x y z")]
+    found = stage(spark, rows)
+    assert [r for r in found if r[0] is not None and r[0] < 4] == [(1, near), (2, other), (3, None)]
+    assert len([r for r in found if r[0] is None]) == 1  # one of two copies without ids
+    assert len([r for r in found if r[0] == 4]) == 1
