@@ -1,7 +1,7 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Vectors are grouped by their nearest pivot. Of each group a summary is kept: its size, the largest distance to
-its pivot, and the distance within which ``k + 1`` members lie. For a query q and a group with pivot p,
+its pivot, and the distance within which ``k + 1`` ids lie. For a query q and a group with pivot p,
 ``q.p - |q| r <= q.x <= q.p + |q| r`` for every member x within r of p, so the summaries of all groups give a
 k-th score that is surely reached, and tell which groups can reach it. Queries are replicated to those groups
 only; groups are cut into blocks of ``block_rows`` by a hash, so that a crowded group becomes many tasks, and
@@ -69,7 +69,8 @@ def top(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str
     placed = stored(all_rows.mapInArrow(place, "vec_id long, v array<long>, g int, far double"), "placed")
     # Of each group at most k + 1 distances; as many groups as pivots.
     counts = placed.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
-    close = placed.select("g", "far").withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("far"))).where(F.col("i") <= k + 1)
+    # Rows that share an id count once: a query's own rows are no candidates, however many they are.
+    close = placed.groupBy("g", "vec_id").agg(F.min("far").alias("far")).withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("far"))).where(F.col("i") <= k + 1)
     close = {r.g: r.far for r in close.groupBy("g").agg(F.max("far").alias("far"), F.count("*").alias("n")).where(F.col("n") > k).collect()}
     groups = np.array([r.g for r in counts])
     radius = np.array([r.r for r in counts])
