@@ -201,7 +201,10 @@ class Writer:
             return rows.where(condition), rows.where(~F.coalesce(condition, F.lit(False)))
 
         all_rows = self.tx.store.frame(table, files).withColumn("__file", F.col("_metadata.file_path"))
-        hit = {r["__file"]: r["n"] for r in parts(all_rows)[0].groupBy("__file").agg(F.count("*").alias("n")).collect()}
+        found = parts(all_rows)[0].groupBy("__file").agg(F.count("*").alias("n")).collect()
+        short = lambda f: tuple(f.rsplit("/", 2)[1:])  # noqa: E731  Spark's names are percent-encoded, but not in these parts
+        own = {short(f): f for f in files}
+        hit = {own[short(r["__file"])]: r["n"] for r in found}
         if not hit:
             empty = self.tx.read(table).where(F.lit(False))
             return [], 0, empty, empty

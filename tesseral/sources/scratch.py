@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; only where that is unset, as in tests, on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tesseral-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

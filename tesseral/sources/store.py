@@ -1,9 +1,11 @@
 """Tables that can be written: immutable Parquet files, and numbered commits that list each table's files.
 
-A commit is one small file, created exclusively, and covers all tables at once; so a reader sees a whole commit
-or none, a lost writer leaves only files that no commit lists, and two writers can't take the same number. Updates
-and deletes rewrite only the files that hold matching rows; inserts add files. All paths go through Hadoop's
-file systems, so the store may lie wherever Spark can write."""
+A commit is one small file and covers all tables at once. It is written aside and then renamed to its number, which
+fails if another has taken it; so a reader sees a whole commit or none, a lost writer leaves only files that no commit
+lists, and two writers can't take the same number. That asks for a file system whose rename is atomic and doesn't
+overwrite (HDFS, local disks); object stores need a layer that gives them that. Updates and deletes rewrite only the
+files that hold matching rows; inserts add files. A tenant is a folder ``_tenant=<name>`` of the store, with commits of
+its own; no table can have such a name."""
 
 from __future__ import annotations
 
@@ -35,7 +37,7 @@ class State:
 class VersionedStore:
     def __init__(self, spark: SparkSession, base: str, tenant: str | None = None):
         self.spark = spark
-        self.base = f"{base.rstrip('/')}/{checked_name(tenant)}" if tenant else base.rstrip("/")
+        self.base = f"{base.rstrip('/')}/_tenant={checked_name(tenant)}" if tenant else base.rstrip("/")
 
     def _path(self, path: str):
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,16 +67,29 @@ class VersionedStore:
         after = state.copy()
         after.number += 1
         fs, p = self._path(f"{self.base}/_commits/{after.number:020d}.json")
+        _, aside = self._path(f"{self.base}/_commits/_{uuid.uuid4().hex}.tmp")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(json.dumps(dataclasses.asdict(after)).encode()))
+        stream.close()
         try:
-            stream = fs.create(p, False)
+            self._rename(fs, aside, p)
         except Exception as error:
+            fs.delete(aside, False)
             if "exist" in str(error).lower():
                 raise ConflictError("another writer has committed since this transaction began") from error
             raise
-        stream.write(bytearray(json.dumps(dataclasses.asdict(after)).encode()))
-        stream.close()
         return after
 
+    def _rename(self, fs, old, new) -> None:
+        """Fails if ``new`` is there."""
+        java_files = self.spark._jvm.java.nio.file
+        if fs.getUri().getScheme() == "file":  # Hadoop's local rename overwrites; a second link to a name is refused
+            local = lambda p: java_files.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, 0))
+            java_files.Files.createLink(local(new), local(old))
+            fs.delete(old, False)
+        elif not fs.rename(old, new):
+            raise FileExistsError(f"{new.toString()} exists")
+
     def files_of(self, state: State, table: TableDef) -> list[str]:
         return state.files.get(table.storage, [])
 
@@ -113,9 +128,11 @@ class VersionedStore:
         listed = {f.split(self.base, 1)[-1] for s in kept for files in s.files.values() for f in files}
         gone = 0
         for folder in self._list(self.base):
-            if folder.endswith("/_commits"):
+            if folder.rsplit("/", 1)[1].startswith("_"):  # commits, other tenants
                 continue
             for data in self._list(folder):
+                if not data.rsplit("/", 1)[1].startswith("data-"):
+                    continue
                 files = [f for f in self._list(data) if f.endswith(".parquet")]
                 for f in files:
                     if f.split(self.base, 1)[-1] not in listed:
@@ -124,7 +141,7 @@ class VersionedStore:
                 if all(f.split(self.base, 1)[-1] not in listed for f in files):
                     fs, p = self._path(data)
                     fs.delete(p, True)
-        for n in names[:-keep]:
+        for n in names[:-keep] + [n for n in self._list(f"{self.base}/_commits") if n.endswith(".tmp")]:
             fs, p = self._path(n)
             fs.delete(p, False)
         return gone

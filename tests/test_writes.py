@@ -213,9 +213,47 @@ def test_writers_conflict_and_vacuum(db):
     late.now.notes["x"] = 1
     with pytest.raises(ConflictError):
         late.commit()
+    db.posts.update({"title": "one"}, {"title": "uno"})  # leaves a file that no commit lists any longer
     before = titles(db)
     assert db.source.vacuum() > 0
     assert titles(db) == before
+    assert db.source.vacuum() == 0
+
+
+def test_vacuum_of_the_root_leaves_tenants_alone(spark, tmp_path):
+    root, tenant = (Client(blog(), VersionedStore(spark, str(tmp_path), t)) for t in (None, "acme"))
+    seed(root)
+    seed(tenant)
+    tenant.tags.create({"slug": "theirs"})
+    root.posts.update({"title": "one"}, {"title": "uno"})
+    assert root.source.vacuum() > 0
+    assert titles(root) == ["two", "uno"]
+    assert titles(tenant) == ["one", "two"]
+    assert [r["slug"] for r in tenant.tags.find_many().collect()] == ["theirs"]
+    assert root.tags.count() == 0
+    tenant.posts.update({"title": "two"}, {"title": "due"})
+    assert tenant.source.vacuum() > 0
+    assert (titles(tenant), titles(root)) == (["due", "one"], ["two", "uno"])
+
+
+def test_paths_with_odd_characters(spark, tmp_path):
+    db = Client(blog(), VersionedStore(spark, f"{tmp_path}/a store #1 50%"))
+    seed(db)
+    assert db.posts.update_many({"title": "new"}, {"title": "one"}) == 1
+    assert db.posts.delete_many({"title": "two"}) == 1
+    assert titles(db) == ["new"]
+
+
+def test_two_writers_and_no_half_commits(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path))
+    first, second = Transaction(store), Transaction(store)
+    first.now.notes["by"] = "first"
+    second.now.notes["by"] = "second"
+    first.commit()
+    with pytest.raises(ConflictError):
+        second.commit()
+    assert store.state().notes == {"by": "first"}
+    assert [f for f in (tmp_path / "_commits").iterdir() if f.suffix == ".tmp"] == []
 
 
 def test_updates_rewrite_only_files_with_matches(db):
