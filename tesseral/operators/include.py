@@ -99,7 +99,7 @@ class Includer:
                 by = F.col(f"{alias}.{escaped(relation.remote)}")
             tally = rows.where(by.isNotNull()).groupBy(by.alias("__key")).agg(F.count("*").alias("__n"))
             joined = df.join(tally, key(relation.local) == tally["__key"], "left")
-            df = joined.select(*[df[escaped(c)] for c in df.columns], F.coalesce(tally["__n"], F.lit(0)).cast("int").alias(count_name(name)))
+            df = joined.select(*[df[escaped(c)] for c in df.columns], F.coalesce(tally["__n"], F.lit(0)).alias(count_name(name)))
         return df
 
     def attach(self, df: DataFrame, table: TableDef, include: dict | None, key, limited: bool = False) -> DataFrame:

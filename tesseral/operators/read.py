@@ -71,6 +71,9 @@ class Reader:
         ordered = order_columns(self.table, order_by, hidden)
         few = limit is not None or offset is not None
         if few:
+            if wanted or late:  # the rows that are left stand in the plan more than once, so nothing may be up to chance
+                named = {n for part in (order_by if isinstance(order_by, (list, tuple)) else [order_by or {}]) for n in part}
+                ordered += [hidden(c).asc_nulls_last() for c in self.table.key_columns if c.name not in named]
             flat = self._cut(flat.orderBy(*ordered) if ordered else flat, limit, offset)
         if late:
             flat = includer.counts(flat, self.table, needed, lambda s: F.col(escaped(f"__s_{s}")))
@@ -130,7 +133,7 @@ class Reader:
         return self.find_many(self.key_where(key), limit=1, include=include, select=select)
 
     def count_frame(self, where: dict | None = None) -> DataFrame:
-        return self._filtered(self._scope(), where)[0].agg(F.count("*").cast("int").alias("__count"))
+        return self._filtered(self._scope(), where)[0].agg(F.count("*").alias("__count"))
 
     def count(self, where: dict | None = None) -> int:
         return self.count_frame(where).first()[0]
@@ -138,7 +141,7 @@ class Reader:
     def aggregate_frame(self, where: dict | None = None, _count: bool = False, _avg=None, _sum=None, _min=None, _max=None) -> DataFrame:
         """One row: ``__count``, ``_avg_<column>`` and so on. Unknown columns are left out."""
         rows, alias = self._filtered(self._scope(), where)
-        out = [F.count("*").cast("int").alias("__count")] if _count else []
+        out = [F.count("*").alias("__count")] if _count else []
         for name, function, picked in (("_avg", F.avg, _avg), ("_sum", F.sum, _sum), ("_min", F.min, _min), ("_max", F.max, _max)):
             for key in [k for k, on in picked.items() if on] if isinstance(picked, dict) else picked or []:
                 column = self.table.column(key)

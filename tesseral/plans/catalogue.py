@@ -97,9 +97,9 @@ find("rel_some_and_none", "customer", f"SELECT {CUSTOMER} FROM customer WHERE EX
 
 # Aggregates
 
-query("count_all", "SELECT CAST(count(*) AS INTEGER) AS __count FROM lineitem")(lambda db: db.lineitem.count_frame())
-query("count_where", "SELECT CAST(count(*) AS INTEGER) AS __count FROM orders WHERE o_orderstatus = 'F'")(lambda db: db.orders.count_frame({"o_orderstatus": "F"}))
-query("count_relation_filter", "SELECT CAST(count(*) AS INTEGER) AS __count FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size = 10)")(lambda db: db.lineitem.count_frame({"part": {"p_size": 10}}))
+query("count_all", "SELECT count(*) AS __count FROM lineitem")(lambda db: db.lineitem.count_frame())
+query("count_where", "SELECT count(*) AS __count FROM orders WHERE o_orderstatus = 'F'")(lambda db: db.orders.count_frame({"o_orderstatus": "F"}))
+query("count_relation_filter", "SELECT count(*) AS __count FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size = 10)")(lambda db: db.lineitem.count_frame({"part": {"p_size": 10}}))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-AGGREGATES = "CAST(count(*) AS INTEGER) AS __count, round(avg(l_quantity), 2) AS _avg_l_quantity, round(sum(l_extendedprice), 2) AS _sum_l_extendedprice, min(l_shipdate) AS _min_l_shipdate, max(l_tax) AS _max_l_tax FROM lineitem"
+AGGREGATES = "count(*) AS __count, round(avg(l_quantity), 2) AS _avg_l_quantity, round(sum(l_extendedprice), 2) AS _sum_l_extendedprice, min(l_shipdate) AS _min_l_shipdate, max(l_tax) AS _max_l_tax FROM lineitem"
 for _name, _where, _sql in (("aggregate_all", None, ""), ("aggregate_where", {"l_returnflag": "R"}, " WHERE l_returnflag = 'R'"), ("aggregate_empty", {"l_returnflag": {"in": []}}, " WHERE 1 = 0")):
     query(_name, f"SELECT {AGGREGATES}{_sql}")(lambda db, w=_where: rounded(db.lineitem.aggregate_frame(w, _count=True, _avg=["l_quantity"], _sum=["l_extendedprice", "unknown"], _min={"l_shipdate": True}, _max=["l_tax"])))
 
@@ -169,19 +169,19 @@ query("include_siblings", "SELECT n_nationkey, (SELECT count(*) FROM customer WH
 query("include_on_limited_parents", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) JOIN orders ON o_custkey = c_custkey")(
     lambda db: db.customer.find_many(order_by={"c_acctbal": "desc", "c_custkey": "asc"}, limit=10, include={"orders": True}).select("c_custkey", F.explode("orders").alias("o")).select("c_custkey", "o.o_orderkey")
 )
-query("count_rel", "SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS INTEGER) AS n FROM customer")(lambda db: db.customer.find_many(include={"_count": {"orders": True}}).select("c_custkey", F.col("_count.orders").alias("n")))
-query("count_rel_filtered", "SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS INTEGER) AS n FROM customer")(
+query("count_rel", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")(lambda db: db.customer.find_many(include={"_count": {"orders": True}}).select("c_custkey", F.col("_count.orders").alias("n")))
+query("count_rel_filtered", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n FROM customer")(
     lambda db: db.customer.find_many(include={"_count": {"orders": {"where": {"o_orderstatus": "F"}}}}).select("c_custkey", F.col("_count.orders").alias("n"))
 )
-query("count_rel_multiple", "SELECT n_nationkey, CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS INTEGER) AS c, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS INTEGER) AS s FROM nation")(
+query("count_rel_multiple", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation")(
     lambda db: db.nation.find_many(include={"_count": {"customers": True, "suppliers": True}}).select("n_nationkey", F.col("_count.customers").alias("c"), F.col("_count.suppliers").alias("s"))
 )
-query("count_rel_m2m", "SELECT p_partkey, CAST((SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS INTEGER) AS n FROM part")(lambda db: db.part.find_many(include={"_count": {"suppliers": True}}).select("p_partkey", F.col("_count.suppliers").alias("n")))
-query("count_rel_m2m_filtered", "SELECT p_partkey, CAST((SELECT count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 0) AS INTEGER) AS n FROM part")(
+query("count_rel_m2m", "SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS n FROM part")(lambda db: db.part.find_many(include={"_count": {"suppliers": True}}).select("p_partkey", F.col("_count.suppliers").alias("n")))
+query("count_rel_m2m_filtered", "SELECT p_partkey, (SELECT count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 0) AS n FROM part")(
     lambda db: db.part.find_many(include={"_count": {"suppliers": {"where": {"s_acctbal": {"gt": 0}}}}}).select("p_partkey", F.col("_count.suppliers").alias("n"))
 )
 query("order_by_count", "SELECT c_custkey FROM customer ORDER BY (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) DESC, c_custkey LIMIT 15")(lambda db: db.customer.find_many(order_by={"_count": {"orders": "desc"}, "c_custkey": "asc"}, limit=15, select=["c_custkey"]))
-query("count_with_include", "SELECT n_nationkey, r_name, CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS INTEGER) AS n FROM nation JOIN region ON r_regionkey = n_regionkey")(
+query("count_with_include", "SELECT n_nationkey, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation JOIN region ON r_regionkey = n_regionkey")(
     lambda db: db.nation.find_many(include={"region": True, "_count": {"customers": True}}).select("n_nationkey", "region.r_name", F.col("_count.customers").alias("n"))
 )
 query("include_two_has_many", "SELECT n_nationkey, (SELECT round(sum(c_acctbal), 2) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT round(sum(s_acctbal), 2) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation")(
