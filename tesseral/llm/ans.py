@@ -15,17 +15,16 @@ doc_ids stay separate rows, ordered by length and ids; an empty table gives an e
 from __future__ import annotations
 
 import functools
+import json
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_symbols, pre_token_pattern, read_spec
+from .bpe import BATCH, WordTable, binary_column, byte_symbols, may_end_word, read_spec
 from .common import partitions, quoted, ship, slices, stored, text_of
 
 SCALE_BITS = 20
@@ -140,71 +139,34 @@ def decode_block(block: bytes, t: FrequencyTable) -> tuple[np.ndarray, np.ndarra
     return t.ids[out.reshape(-1)[:n]], lengths, keys, nulls
 
 
-class _Spread(Exception):
-    """White space that reaches over a cut at single spaces."""
+@functools.lru_cache(maxsize=2)
+def library_table(spec: str) -> tuple[WordTable, int]:
+    """The tokenizers library's model behind a memory of words, and the size of its vocabulary."""
+    from tokenizers import Tokenizer, models
+
+    tokenizer, data = Tokenizer.from_str(spec), json.loads(spec)["model"]
+    options = {k: data[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if data.get(k)}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["merges"]]
+    model = models.BPE(data["vocab"], pairs, cache_capacity=0, **options)  # the memory here does the cache's work
+    symbols = dict(enumerate(byte_symbols()))
+    space = symbols[0x20]
 
+    def pre_token(part: str) -> list[int]:
+        return [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(symbols))]
 
-#: Words, and pre-tokens, that a worker remembers; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 500_000
+    def run(words: bytes) -> list[int]:
+        return [t.id for t in model.tokenize(words.decode("latin-1").translate(symbols))]
 
+    to_byte = {c: b for b, c in symbols.items()}
+    together = not any(right.startswith(space) and may_end_word(bytes(to_byte[c] for c in left)) for left, right in pairs)
+    opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    opens[[i for t, i in data["vocab"].items() if t.startswith(space)]] = True
+    return WordTable(pre_token, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, run if together else None, opens), tokenizer.get_vocab_size()
 
-@functools.lru_cache(maxsize=2)
-def library_encoder(spec: str, end_id: int):
-    """The tokenizers library behind a memory of pre-tokens: the library's model encodes each when first met."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(spec)
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    cut, split = pre_token_pattern(), regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-    narrow = tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-    kind, wide = ("H", "<u2") if narrow else ("I", "<u4")
-    symbols = dict(enumerate(byte_symbols()))
-    model = tokenizer.model
-    model._resize_cache(0)  # the memory here does its work
-    end = array(kind, [end_id]).tobytes()
-    words: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
-
-    def part(p: str) -> bytes:
-        if len(parts) >= REMEMBERED:
-            parts.clear()
-        found = parts[p] = array(kind, [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(symbols))]).tobytes()
-        return found
-
-    def whole(text: str) -> list[bytes]:
-        get = parts.get
-        return [get(p) or part(p) for p in cut.findall(text)]
-
-    def word(w: str) -> bytes:
-        """Ids of a space and what follows it up to the next: a cut of its own, unless more white space follows."""
-        pieces = cut.findall(" " + w)
-        if pieces[0].isspace():
-            raise _Spread
-        get = parts.get
-        if len(words) >= REMEMBERED:
-            words.clear()
-        found = words[w] = b"".join([get(p) or part(p) for p in pieces])
-        return found
-
-    def plain(text: str) -> list[bytes]:
-        first, *rest = text.split(" ")
-        get = words.get
-        try:
-            return [*whole(first), *[get(w) or word(w) for w in rest]]
-        except _Spread:
-            return whole(text)
-
-    def encode(text: str) -> bytes:
-        if split and any(s in text for s in special):
-            out = []
-            for piece in split.split(text):
-                out += [array(kind, [special[piece]]).tobytes()] if piece in special else plain(piece)
-        else:
-            out = plain(text)
-        out.append(end)
-        return b"".join(out)
-
-    return encode, wide
+
+def id_type(spec: str, end_id: int) -> str:
+    """The narrowest unsigned type that holds all ids."""
+    return "<u2" if max(library_table(spec)[1], end_id + 1) <= 1 << 16 else "<u4"
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,15 +178,15 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def run(batches):
-        encode, wide = library_encoder(spec.value, end_id)
+        (table, _), kind = library_table(spec.value), id_type(spec.value, end_id)
         counts = np.zeros(1 << 16, dtype=np.int64)
-        for batch in slices(batches):
-            found = [encode(t) for t in batch.column(1).to_pylist()]
-            got = np.bincount(np.frombuffer(b"".join(found), wide))
+        for batch in slices(batches, BATCH):
+            ids, lengths = table.encode(batch.column(1), end_id)
+            got = np.bincount(ids)
             if len(got) > len(counts):
                 counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
             counts[: len(got)] += got
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], names=["doc_id", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(ids.astype(kind), lengths), pa.nulls(len(lengths), pa.binary())], names=["doc_id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
     return docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
@@ -233,7 +195,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the store of all documents at ``path``."""
     spark = docs.sparkSession
-    _, wide = library_encoder(read_spec(tokenizer_path), end_id)
+    wide = id_type(read_spec(tokenizer_path), end_id)
     staged = stored(tokens(docs, tokenizer_path, end_id, doc_id, text), "token-ids")
 
     def histogram(batches):
@@ -305,7 +267,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         pa.array(keys, pa.int64(), mask=nulls.astype(bool)),
                         pa.array(ends - lengths + begin + base.value[part]),
                         pa.array(lengths),
-                        pa.array([data[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary()),
+                        binary_column(data, lengths),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )

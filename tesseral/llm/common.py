@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +40,40 @@ def ship(spark: SparkSession) -> None:
     sc._tesseral_shipped = True
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
-    Only where that setting is absent, as in tests, a temporary folder of this machine is used."""
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_tesseral_scratch", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="tesseral-scratch-")
             atexit.register(shutil.rmtree, base, True)
             spark.sparkContext._tesseral_scratch = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Only where that setting is absent and Spark runs on this machine alone, as in tests, it is a temporary folder."""
+    return f"{_folder.get() or _base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """All that operators write to the shared folder inside goes at the end; results must be written elsewhere by then."""
+    folder = scratch(spark, "work")
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -61,6 +89,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of ``df`` has: for columns that an operator adds and drops again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def quoted(name: str) -> "F.Column":
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -86,6 +126,31 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches, column: int, most: int, rows: int = 1 << 30):
+    """The batches in pieces of ``rows`` rows at most, whose texts, in this column, have ``most`` bytes, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes + 1), 0
+        while at < batch.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def trimmed(run):
+    """``run``, after which the worker gives the memory that it has freed back to the system."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
 
