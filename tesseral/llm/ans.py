@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BATCH, WordTable, binary_column, byte_symbols, may_end_word, read_spec
+from .bpe import BATCH, REMEMBERED, WordTable, binary_column, byte_symbols, may_end_word, read_spec
 from .common import partitions, quoted, ship, slices, stored, text_of
 
 SCALE_BITS = 20
@@ -161,7 +161,7 @@ def library_table(spec: str) -> tuple[WordTable, int]:
     together = not any(right.startswith(space) and may_end_word(bytes(to_byte[c] for c in left)) for left, right in pairs)
     opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     opens[[i for t, i in data["vocab"].items() if t.startswith(space)]] = True
-    return WordTable(pre_token, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, run if together else None, opens), tokenizer.get_vocab_size()
+    return WordTable(pre_token, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, run if together else None, opens, 2 * REMEMBERED), tokenizer.get_vocab_size()
 
 
 def id_type(spec: str, end_id: int) -> str:
@@ -180,7 +180,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc
     def run(batches):
         (table, _), kind = library_table(spec.value), id_type(spec.value, end_id)
         counts = np.zeros(1 << 16, dtype=np.int64)
-        for batch in slices(batches, BATCH):
+        for batch in slices(batches, 4 * BATCH):
             ids, lengths = table.encode(batch.column(1), end_id)
             got = np.bincount(ids)
             if len(got) > len(counts):

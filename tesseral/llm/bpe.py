@@ -31,14 +31,14 @@ from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
 from .bytewise import HashTable, bytes_of, hashes
-from .common import free_names, quoted, ship, slices, text_of, without
+from .common import free_names, quoted, ship, slices, text_of, trimmed, without
 
 #: Fixed value: how the byte-level pre-tokenizer of the public vocabulary cuts a text.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, pre-tokens, and pairs of tokens, remembered by a worker; a memory is emptied beyond it, which costs time only.
-REMEMBERED, REMEMBERED_PARTS = 2_400_000, 100_000
+REMEMBERED, REMEMBERED_PARTS = 1_200_000, 50_000
 #: Rows that are looked up together, and new words that are encoded together.
-BATCH, RUN = 1024, 64
+BATCH, RUN = 256, 64
 
 
 def byte_symbols() -> list[str]:
@@ -207,7 +207,8 @@ class WordTable:
     text, and texts with other runs of white space or with special tokens, are cut as a whole. ``run`` encodes
     the bytes of many words of letters at once, which gives the same if no merge joins a space to a word."""
 
-    def __init__(self, pre_token, special: dict[str, int], run=None, opens: np.ndarray | None = None):
+    def __init__(self, pre_token, special: dict[str, int], run=None, opens: np.ndarray | None = None, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.pre_token, self.special, self.cut, self.run, self.opens = pre_token, special, pre_token_pattern(), run, opens
         self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.parts: dict[str, list[int]] = {}
@@ -322,7 +323,7 @@ class WordTable:
         at, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         later = np.flatnonzero(later)
         keys = hashes(data, starts[later], ends[later]) | np.uint64(1)
-        if self.known.count + len(later) > REMEMBERED and self.known.count + len(np.unique(keys)) > REMEMBERED:
+        if self.known.count + len(later) > self.remembered and self.known.count + len(np.unique(keys)) > self.remembered:
             self.clear()
         slot = self.known.find(keys)
         if len(new := np.flatnonzero(slot < 0)):
@@ -424,7 +425,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str =
             found, lengths = table.encode(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary_column(found.astype("<u4", copy=False), lengths)], names=[*batch.schema.names[:-1], ids])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -446,4 +447,4 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "
             texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
