@@ -9,7 +9,11 @@ Viterbi. ``example_pages`` writes labelled pages in many layouts; others can be
 Defined results: null html counts as empty; pages without main text give an empty text; head, scripts, styles,
 templates and comments are never text; ``<br>`` is white space; unclosed tags close where HTML says that the
 next tag ends them, or with their parent; character references are decoded; white space inside a block becomes
-one space, blocks are joined by newlines.
+one space, blocks are joined by newlines. Quotes matter after an equals sign only, and one that is never closed is a
+character like others; ``object``, ``svg``, ``video`` and the like are skipped up to their end or that of their parent,
+and are ignored if their end is missing altogether; an unclosed ``script``, ``style`` or comment takes the rest, as in
+browsers. Reading is linear in the page's length. Of very deep nesting the innermost ``DEPTH`` elements are ancestors.
+Repeated rows get equal texts, other columns of the input stay as they are, and one named like the output goes.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship, slices, text_of, without
+from .common import free_names, quoted, ship, slices, text_of, without
 
 #: How HTML's elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas audio video title xmp noembed noframes".split())
+RAW = frozenset("script style noscript iframe title xmp noembed noframes".split())
+SKIPPED = frozenset("template object svg math canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -41,8 +46,13 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![^\s])(hidden)(?![^\s/>])", re.S)
+DEPTH = 64
+#: A well-formed tag; possessive throughout, so that matching never goes back.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"<]*+\"|'[^'<]*+'|[^\s\"'<>`=]++))?)*+)\s*+/?>")
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+BETWEEN = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"([^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+UNQUOTED = re.compile(r"([^\s/>=]++|=[^\s/>=]*+)(?:\s*+=\s*+([^\s>]*+))?")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"[\s ]+")
 
@@ -54,89 +64,156 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
-def described(tag: str, attributes: str) -> str:
+def described(tag: str, attributes: list[tuple[str, str]]) -> str:
     """A tag with the words of its class, id and role: ``div.cookie.notice``."""
     words = []
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
-            value = a or b or c
-            if name.lower() in ("class", "id", "role", "itemprop", "data-role"):
-                words += [w.lower() for w in NAMES.findall(html.unescape(value))]
-            elif bare or name.lower() == "hidden" or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)) or (name.lower() == "aria-hidden" and value == "true"):
-                words.append("hidden")
+    for name, value in attributes:
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop", "data-role"):
+            words += [w.lower() for w in NAMES.findall(html.unescape(value))]
+        elif name == "hidden" or (name == "style" and re.search(r"display\s*+:\s*+none", value)) or (name == "aria-hidden" and value == "true"):
+            words.append("hidden")
     return ".".join([tag, *dict.fromkeys(words)])
 
 
+class Scanner:
+    """Reads a page's tags from left to right."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.low = low if len(low := page.lower()) == len(page) else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.ends: dict[str, int] = {}
+
+    def closes(self, tag: str, at: int) -> bool:
+        """Whether an end of this tag comes later."""
+        if tag not in self.ends:
+            self.ends[tag] = self.low.rfind(f"</{tag}")
+        return self.ends[tag] >= at
+
+    def after(self, mark: str, at: int) -> int:
+        """Behind the next ``mark``, or the page's end."""
+        found = self.page.find(mark, at)
+        return found + len(mark) if found >= 0 else len(self.page)
+
+    def tag(self, at: int) -> tuple[int, bool, str, list[tuple[str, str]], bool] | None:
+        """(its end, is it an end tag, name, attributes, does it end with a slash) of the tag at ``<``."""
+        page = self.page
+        if (m := TAG.match(page, at)) is not None:
+            return m.end(), bool(m[1]), m[2].lower(), [(a[1], a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])] if m[3] else [], page[m.end() - 2] == "/"
+        if (m := OPENING.match(page, at)) is None:
+            return None
+        attributes, at = [], m.end()
+        while True:
+            at = BETWEEN.match(page, at).end()
+            if at >= len(page) or page[at] == ">":
+                return min(at + 1, len(page)), bool(m[1]), m[2].lower(), attributes, page[at - 1 : at] == "/"
+            whole = at <= self.last["\""] or at <= self.last["'"]
+            a = (ATTRIBUTE if whole else UNQUOTED).match(page, at)
+            attributes.append((a[1], next((v for v in a.groups()[1:] if v is not None), "")))
+            at = a.end()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    open_: Counter = Counter()
     pieces: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, at, skipped = 0, 0, 0
+    scan = Scanner(page)
 
     def flush():
         nonlocal pieces, linked
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(text, tuple(d for _, d in stack if d not in ("html", "body")), min(linked, len(text))))
+                out.append(Block(text, tuple(d for _, d in stack[-DEPTH:] if d not in ("html", "body")), min(linked, len(text))))
             pieces, linked = [], 0
 
+    def drop(i: int) -> None:
+        nonlocal skipped
+        for tag, _ in stack[i:]:
+            open_[tag] -= 1
+            skipped -= tag in SKIPPED
+        del stack[i:]
+
     def close(names, stops) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in stops:
-                return
-
-    while (m := TOKEN.search(page, at)) is not None:
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                pieces.append(html.escape(m[0][9:].removesuffix("]]>")))
+        if any(open_[n] for n in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    flush()
+                    drop(i)
+                    return
+                if stack[i][0] in stops:
+                    return
+
+    def say(text: str) -> None:
+        nonlocal linked
+        if text and not skipped:
+            pieces.append(text)
+            if open_["a"]:
+                linked += len(text)
+
+    while (sign := page.find("<", at)) >= 0:
+        say(page[at:sign])
+        at = sign
+        if page.startswith("<!--", at):
+            at = scan.after("-->", at + 4)
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = scan.after("]]>", at + 9)
+            say(html.escape(page[at + 9 : end].removesuffix("]]>")))
+            at = end
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in INLINE:
+        if page[at + 1 : at + 2] in ("!", "?") or page.startswith("</", at) and not page[at + 2 : at + 3].isascii():
+            at = scan.after(">", at + 2)
+            continue
+        found = scan.tag(at)
+        if found is None:
+            say("<")
+            at += 1
+            continue
+        at, is_end, tag, attributes, slash = found
+        if is_end:
+            if tag not in INLINE and not skipped:
                 flush()
-            if tag == "a":
-                links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            if tag not in INLINE:
-                links = sum(t == "a" for t, _ in stack)
+            if open_[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        drop(i)
+                        break
+                    if tag in INLINE and stack[i][0] not in INLINE:
+                        break
             continue
-        if tag in RAW or tag == "head":
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                # A head without an end ends where the body begins.
-                end = re.compile(r"</head\s*>|(?=<body[\s>])" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else (at if tag == "head" else len(page))
+        if tag == "head":  # one without an end ends where the body begins
+            ends = [i for i in (scan.low.find("</head", at) if scan.closes("head", at) else -1, scan.low.find("<body", at)) if i >= 0]
+            at = min(ends) if ends else at
+            continue
+        if tag in RAW:
+            if scan.closes(tag, at):
+                at = scan.after(">", scan.low.find(f"</{tag}", at))
+            elif tag in ("script", "style"):
+                at = len(page)
+            continue
+        if tag in SKIPPED and (slash or not scan.closes(tag, at)):
             continue
         if tag == "br":
-            pieces.append(" ")
+            say(" ")
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not skipped:
                 flush()
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SKIPPED and not skipped:
             flush()
             close({"p"}, {"article", "div", "section", "td", "li", "body", "table", "blockquote"})
             if tag in CLOSES:
                 close(*CLOSES[tag])
-        elif tag == "a":
-            links += 1
-        stack.append((tag, described(tag, m[3])))
-    pieces.append(page[at:] if not page[at:].startswith("<") else "")
+        if tag in SKIPPED:
+            skipped += 1
+        open_[tag] += 1
+        stack.append((tag, described(tag, attributes)))
+    say(page[at:])
     flush()
     return out
 
@@ -300,6 +377,9 @@ def example_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[str]]]:
     def items(k: int) -> str:
         return "<ul>" + "".join(f"<li>{link()}" + rng.choice(["</li>", "</li>", ""]) for _ in range(k)) + "</ul>"
 
+    def owner() -> str:
+        return f"{rng.choice(['&copy;', '©', '(c)'])} {rng.choice(['', 'blog.', 'www.', '2020 '])}{word()}{rng.choice(['.example.com', '.example.org', ''])} {rng.choice(['&middot;', '·', '|', '-', ''])} "
+
     def boiler(role: str) -> str:
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(role, "div")
         plain = rng.random() < 0.5
@@ -307,7 +387,7 @@ def example_pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[str]]]:
         body = {
             "nav": lambda: items(rng.randint(2, 8)),
             "header": lambda: rng.choice(["", f"<h1>{phrase(1, 3)}</h1>", f'<a href="/">{phrase(1, 2)}</a>']) + rng.choice([f"<p>{phrase(2, 8)}</p>", phrase(2, 6), items(4)]),
-            "footer": lambda: rng.choice([f"&copy; {rng.randint(1999, 2030)} {phrase(1, 3)} &middot; {prose(1, 2)}", f"<p>&copy; {phrase(1, 4)}</p>" + items(3), f"{word()}.example.com | {link()} | {link()}", f"<p>{prose(1, 2)}</p>"]),
+            "footer": lambda: rng.choice([f"&copy; {rng.randint(1999, 2030)} {phrase(1, 3)} &middot; {prose(1, 2)}", f"<p>&copy; {phrase(1, 4)}</p>" + items(3), f"{word()}.example.com | {link()} | {link()}", f"<p>{prose(1, 2)}</p>", owner() + prose(1, 5), f"<p>{owner()}{prose(1, 5)}</p>", owner() + phrase(2, 30)]),
             "aside": lambda: f"<h{(k := rng.randint(2, 4))}>{phrase(1, 3)}</h{k}>" + rng.choice([items(rng.randint(2, 6)), f"<p>{prose(1, 3)}</p>", "".join(f"<p>{link()} {phrase(2, 8)}</p>" for _ in range(3))]),
             "notice": lambda: rng.choice([f"<p>{prose(1, 3)}</p><button>{word()}</button>", f"{prose(1, 2)} {link()}"]),
             "ad": lambda: rng.choice([prose(1, 2), f"<p>{prose(1, 3)}</p>", f"{link()} {phrase(2, 9)}", f"<a href='/x'>{prose(1, 1)}</a>"]),
@@ -372,10 +452,10 @@ def extract(pages: DataFrame, field: Field | None = None, page: str = "html", ou
     spark = pages.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(field or fit(example_pages()))
-    rows = without(pages, *([out] if out.lower() != page.lower() else [])).withColumn("__html", text_of(pages, page))
-    kept = [f for f in rows.schema.fields[:-1] if f.name.lower() != out.lower()]
-    schema = T.StructType([*kept, T.StructField(out, T.StringType(), False)])
-    places = [rows.columns.index(f.name) for f in kept]
+    kept = without(pages, out).columns
+    (whole,) = free_names(pages, "whole_page")
+    rows = pages.select(*[quoted(c) for c in kept], text_of(pages, page).alias(whole))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.StringType(), False)])
 
     def run(batches):
         f = shared.value
@@ -384,6 +464,6 @@ def extract(pages: DataFrame, field: Field | None = None, page: str = "html", ou
             for page_ in batch.column(batch.num_columns - 1).to_pylist():
                 found = blocks_of(page_)
                 texts.append("\n".join(b.text for b, main in zip(found, f.decode(found), strict=True) if main))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], pa.array(texts, pa.string())], names=[x.name for x in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[x.name for x in schema.fields])
 
     return rows.mapInArrow(run, schema)

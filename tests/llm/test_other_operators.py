@@ -10,26 +10,52 @@ from tesseral.llm import knn, pages, urls  # noqa: E402
 from tesseral.llm.queries import URL_RULES  # noqa: E402
 
 
+def brute_top(vectors, k=5, every=50):
+    """(query_id, rank, vec_id, score) of distinct rows, by the definition."""
+    good = {(i, tuple(np.floor(256 * np.array(v, dtype="float64")).astype(int).tolist())) for i, v in vectors if i is not None and v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for q, x in good:
+        if q % every == 0:
+            best = sorted((-int(np.dot(x, y)), i) for i, y in good if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def rows_of(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+
+
 def test_voronoi_top_k_is_exact(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(0, 1, (5, 8))
     vectors = [(i, (centres[i % 5] + rng.normal(0, 0.3, 8)).astype("float32").tolist()) for i in range(400)]
     vectors += [(400 + i, [0.5] * 8) for i in range(150)]  # a crowd of equal vectors
     vectors += [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (903, [float("inf")] + [0.0] * 7), (904, []), (905, [1.0] * 3), (None, [0.1] * 8), (400, [0.5] * 8)]
+    vectors += [(250, vectors[3][1]), (250, vectors[3][1]), (77, vectors[77][1]), (77, vectors[50][1])]  # ids with several vectors
     df = spark.createDataFrame([(i, v, "s", 1) for i, v in vectors], "vec_id long, embedding array<float>, score string, rank int")
-    got = {}
-    for r in knn.top(df, lambda c: c % 50 == 0, k=5, pivots=8, block_rows=32, query_rows=4).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    good = [(i, np.floor(256 * np.array(v, dtype="float64")).astype(int)) for i, v in vectors if i is not None and v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
-    for q, x in good:
-        if q % 50 == 0 and q != 400:
-            best = sorted((-int(x @ y), i) for i, y in good if i != q)[:5]
-            assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    for sizes in ({"most_pivots": 8, "block_rows": 32, "query_rows": 4}, {}):
+        assert rows_of(knn.top(df, lambda c: c % 50 == 0, k=5, **sizes)) == brute_top(vectors)
     assert knn.top(df.limit(0), lambda c: c % 50 == 0).count() == 0
+    assert knn.top(df, lambda c: c < -5).count() == 0
     few = knn.top(df.where("vec_id IN (0, 1, 2)"), lambda c: c % 50 == 0, k=5).collect()
     assert sorted(r.rank for r in few) == [1, 2]
 
 
+def test_voronoi_bounds_spare_most_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (24, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    vectors = [(i, (centres[i % 24] + rng.normal(0, 0.01, 8)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    join = knn.Join(df, lambda c: c % 10 == 0, 5, "vec_id", "embedding", 64, 16384, 16)
+    asked = {r.block: r.n for r in join.queries.groupBy("block").agg(knn.F.count("*").alias("n")).collect()}
+    copied = {r.block: r.n for r in join.data.groupBy("block").agg(knn.F.count("*").alias("n")).collect()}
+    pairs = sum(n * copied.get(b, 0) for b, n in asked.items())
+    assert pairs < 0.5 * sum(asked.values()) * len(vectors)
+    assert sum(copied.values()) < 0.5 * len(vectors) * join.blocks
+    assert rows_of(knn.top(df, lambda c: c % 10 == 0, most_pivots=64, query_rows=16)) == brute_top(vectors, every=10)
+
+
 def brute_rule(host, path):
     fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: len(r.rule)) if fits else None
@@ -112,12 +138,40 @@ def test_viterbi_of_the_field_is_the_best_path(field):
         ("<div title='a>b'>in</div><![CDATA[raw]]>", ["in", "raw"]),
         ("<p>open <a href=x>link", ["open link"]),
         ("</div></p>stray", ["stray"]),
+        ("<p title=it's>one</p><p>two</p><p>it's</p>", ["one", "two", "it's"]),
+        ("<p title=it's>one</p><p>two", ["one", "two"]),
+        ("<div><object data=x><p>in</p></div><p>after", ["in", "after"]),
+        ("<div><video><p>in</p></div><p>after</p><video></video>", ["after"]),
+        ("<p>a<svg><text>t</text></svg>b<canvas><p>c", ["ab", "c"]),
+        ("<iframe src=x><p>q", ["q"]),
+        ("a < b <3 c", ["a < b <3 c"]),
+        ('<a x="1>u</a><p>z', ["u", "z"]),
     ],
 )
 def test_blocks(page, texts):
     assert [b.text for b in pages.blocks_of(page)] == texts
 
 
+@pytest.mark.parametrize("piece", ['<a b="', "<p x='", '"', "<", "<a ", "<b>", "</b>", "<div>t", "<svg>", "<!--", "&", "<td>", "<li>x"])
+def test_very_long_odd_pages_are_read_in_linear_time(piece):
+    import time
+
+    times = []
+    for n in (30_000, 240_000):
+        begun = time.process_time()
+        pages.blocks_of("<p title='" + piece * (n // len(piece)))
+        times.append(time.process_time() - begun)
+    assert times[1] < 0.2 + 24 * times[0]
+
+
+def test_footers_of_one_run_of_text_are_not_main(field):
+    prose = "Thst ing the onea an. " * 4
+    for mark in ("©", "&copy;", "(c)"):
+        page = f"<html><body><nav><ul><li><a href=/>x</a></ul></nav><article><h1>Some title of it</h1><p>{prose}<p>{prose}</article><footer>{mark} blog.tion.example.com · {prose}</footer></body></html>"
+        blocks = pages.blocks_of(page)
+        assert [b.text for b, m in zip(blocks, field.decode(blocks), strict=True) if m] == ["Some title of it", prose.strip(), prose.strip()]
+
+
 def test_extract(spark, field):
     body = "<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A long title here</h1><p>" + "This is a sentence, with words. " * 5 + "</p></article><footer>&copy; x.example.com</footer>"
     df = spark.createDataFrame([(1, body, "t"), (2, None, "t"), (3, "", "t"), (4, body, "t"), (5, "<div>" * 2000 + "deep", "t")], "page_id long, html string, text string")
