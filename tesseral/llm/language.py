@@ -6,25 +6,29 @@ words when each switch of language costs ``penalty``. Most texts are in one lang
 if no run of words gains more than half the penalty in another language, no labelling with switches is better.
 A prediction sees nothing but the text.
 
-The model is fitted on at most about ``sample`` labelled texts, chosen by a hash of the doc_id, and has a fixed
+Spans count the characters of the text as it is. The model is fitted on at most about ``sample`` labelled texts, chosen by a hash of the doc_id, and has a fixed
 size for each language. Defined results: ``und`` with score 0 for texts that are null or have no letter; words in
 a script that no language was learned in are neutral and count as unexplained in the score; rows with a null
-doc_id, or with a null language, are never learned from; without anything learned, every text is ``und``.
+doc_id, or with a null language, are never learned from; without anything learned, every text is ``und``. Letters are
+Unicode's, with the marks that follow them; digits and numerals are not. Repeated rows get equal predictions, an empty
+table gives no rows, and input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, ship, slices, text_of, without
+from .common import free_names, quoted, ship, slices, text_of, without
 
 #: First code points of script ranges, in order. A range runs to the next one.
 SCRIPTS = (
@@ -43,12 +47,32 @@ SCRIPTS = (
 SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT_AT = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
-WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
+@functools.lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """A letter and the letters and marks after it, for the standard library's matcher."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+    def ranges(kind: str) -> str:
+        inside = np.zeros(0x110001, np.int8)
+        for run in regex.findall(kind, every):
+            inside[np.frombuffer(run.encode("utf-32-le"), "<u4")] = 1
+        turns = np.flatnonzero(np.diff(inside, prepend=0))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in turns.reshape(-1, 2).tolist())
+
+    return re.compile(f"[{ranges(r'\p{L}+')}][{ranges(r'[\p{L}\p{M}]+')}]*")
+
+
+def lowered(text: str) -> str:
+    """Lower case, with as many characters as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(d := c.lower()) != 1 else d for c in text)
+
+
 def script_of(code_points: np.ndarray) -> np.ndarray:
     return _SCRIPT_AT[np.searchsorted(_STARTS, code_points, side="right") - 1]
 
@@ -126,7 +150,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         for batch in slices(batches):
             words: dict[str, Counter] = defaultdict(Counter)
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[name].update(WORD.findall(t.lower()))
+                words[name].update(word_pattern().findall(lowered(t)))
             for name, counted in words.items():
                 if counted:
                     times = np.array(list(counted.values()))
@@ -160,16 +184,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = without(docs, "lang_pred", "score", "spans").withColumn("__text", text_of(docs, text))
+    kept = without(docs, "lang_pred", "score", "spans").columns
+    (whole,) = free_names(docs, "whole_text")
+    rows = docs.select(*[quoted(c) for c in kept], text_of(docs, text).alias(whole))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("spans", SPANS, False)])
 
     def run(batches):
-        m = shared.value
+        m, find = shared.value, word_pattern()
         known: dict[str, int] = {}
         scores, lengths, scripted = (np.zeros((0, len(m.languages)), np.float32), np.zeros(0, np.int64), np.zeros(0, bool))
         for batch in slices(batches):
-            texts = [t.lower() for t in batch.column(batch.num_columns - 1).to_pylist()]
-            words = [WORD.findall(t) for t in texts]
+            texts = [lowered(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            words = [find.findall(t) for t in texts]
             new = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
             if len(known) + len(new) > REMEMBERED and known:
                 known, scores, lengths, scripted = {}, scores[:0], lengths[:0], scripted[:0]
@@ -195,7 +221,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if len(turns) == 1:
                     spans.append([{"start": 0, "end": len(t), "lang": m.languages[int(path[0])]}])
                 else:
-                    starts = [x.start() for x in WORD.finditer(t)]
+                    starts = [x.start() for x in find.finditer(t)]
                     cuts = [0, *[starts[k] for k in turns[1:]], len(t)]
                     spans.append([{"start": a, "end": b, "lang": m.languages[int(path[k])]} for a, b, k in zip(cuts[:-1], cuts[1:], turns, strict=True)])
             added = [pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]
