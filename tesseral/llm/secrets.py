@@ -3,12 +3,13 @@
 Every version of a text is a blob named by the SHA-256 of its content. The ledger, a Parquet folder that only
 grows, notes for each blob which rules in which versions it was scanned with, and the spans found. A scan takes
 the distinct blobs of its input, drops the pairs of blob and rule version that the ledger has, runs the rest,
-appends the outcome, and joins the spans back to all paths that hold the blob.
+appends the outcome, and joins the spans back to all paths that hold the blob. The ledger names each span's rule and
+version, so it can be read with other rules, in any order.
 
 Spans count code points, end exclusive. Matches of a rule are leftmost and don't overlap; those that fail the
 rule's length test are dropped afterwards. Positions come from the lengths of the matches and of the pieces
 between them. Defined results: a null text is the empty blob; repeated rows each get their spans; an empty
-input gives no rows and leaves the ledger as it is.
+input gives no rows and leaves the ledger as it is; an input column named like the output is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import quoted, text_of, without
+from .common import free_names, quoted, text_of, without
 
 
 @dataclasses.dataclass(frozen=True)
@@ -62,7 +63,7 @@ MORE = (
     Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", words=("://",)),
 )
 RULES = BASE + MORE
-SPANS = "array<struct<start:int,kind:int,end:int>>"
+SPANS, NOTED = "array<struct<start:int,kind:int,end:int>>", "array<struct<start:int,rule:string,end:int>>"
 
 
 def may_match(rule: Rule, text: Column) -> Column:
@@ -72,8 +73,8 @@ def may_match(rule: Rule, text: Column) -> Column:
     return text.rlike(rule.screen or rule.pattern)
 
 
-def spans_of(rule: Rule, order: int, text: Column) -> Column:
-    """The rule's spans in a text; ``order`` is the kind's place among the rules."""
+def spans_of(rule: Rule, text: Column) -> Column:
+    """The rule's spans in a text."""
     pattern = F.lit(rule.pattern)
     parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.split(text, rule.pattern, -1).alias("p"))
 
@@ -81,11 +82,11 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         part = state["part"]
         start = state["at"] + F.length(part["p"][i])
         end = start + F.length(part["m"][i])
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
+        span = F.struct(start.alias("start"), F.lit(rule.key).alias("rule"), end.alias("end"))
         out = F.when(F.length(part["g"][i]) >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(part.alias("part"), end.alias("at"), out.alias("out"))
 
-    empty = F.array().cast(SPANS)
+    empty = F.array().cast(NOTED)
 
     def positions(p: Column) -> Column:
         start = F.struct(p.alias("part"), F.lit(0).alias("at"), empty.alias("out"))
@@ -101,7 +102,7 @@ class Ledger:
         self.spark, self.path, self.rules = spark, path, rules
 
     def entries(self) -> DataFrame | None:
-        schema = f"blob string, rules array<string>, spans {SPANS}"
+        schema = f"blob string, rules array<string>, spans {NOTED}"
         try:
             return self.spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(self.path)
         except AnalysisException as missing:
@@ -120,22 +121,23 @@ class Ledger:
             blobs = blobs.where(F.size("todo") > 0)
         else:
             blobs = blobs.withColumn("todo", keys)
-        found = [F.when(F.array_contains("todo", r.key), spans_of(r, i, F.col("text"))).otherwise(F.array().cast(SPANS)) if past is not None else spans_of(r, i, F.col("text")) for i, r in enumerate(self.rules)]
+        found = [F.when(F.array_contains("todo", r.key), spans_of(r, F.col("text"))).otherwise(F.array().cast(NOTED)) if past is not None else spans_of(r, F.col("text")) for r in self.rules]
         blobs.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans")).write.parquet(f"{self.path}/scan-{uuid.uuid4().hex}")
 
     def scan(self, versions: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
         """All columns of ``versions`` and ``out``: spans sorted by start, then by the rules' order."""
         self.record(versions, text)
         current = F.array(*[F.lit(r.key) for r in self.rules])
-        found = self.entries().where((F.size("spans") > 0) & F.arrays_overlap("rules", current))
-        found = found.select("blob", F.explode("spans").alias("s"), "rules").where(F.exists("rules", lambda k: F.array_contains(current, k) & (F.split(k, "@")[0] == F.element_at(F.array(*[F.lit(r.kind) for r in self.rules]), F.col("s.kind") + 1))))
-        found = found.groupBy(F.col("blob").alias("__found")).agg(F.array_sort(F.collect_set("s")).alias("__spans"))
+        noted = self.entries().where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.array_contains(current, F.col("s.rule")))
+        place = (F.array_position(current, F.col("s.rule")) - 1).cast("int")
+        blob, key, spans = free_names(versions, "blob", "blob_key", "blob_spans")
+        found = noted.groupBy(F.col("blob").alias(key)).agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), place.alias("kind"), F.col("s.end").alias("end")))).alias(spans))
         # Paths whose text no rule can match have no findings, and needn't be moved to be joined with any.
-        rows = without(versions, out)
+        kept = [quoted(c) for c in without(versions, out).columns]
         suspect = reduce(or_, [may_match(r, text_of(versions, text)) for r in self.rules])
-        joined = rows.where(suspect).withColumn("__blob", F.sha2(text_of(versions, text), 256)).join(found, F.col("__blob") == F.col("__found"), "left")
-        joined = joined.withColumn(out, F.coalesce("__spans", F.array().cast(SPANS))).drop("__blob", "__found", "__spans")
-        return joined.unionByName(rows.where(~suspect).withColumn(out, F.array().cast(SPANS)))
+        joined = versions.where(suspect).select(*kept, F.sha2(text_of(versions, text), 256).alias(blob)).join(found, F.col(blob) == F.col(key), "left")
+        joined = joined.select(*kept, F.coalesce(spans, F.array().cast(SPANS)).alias(out))
+        return joined.unionByName(versions.where(~suspect).select(*kept, F.array().cast(SPANS).alias(out)))
 
 
 def listed(spans: str, rules: tuple[Rule, ...] = RULES, most: int | None = None) -> Column:
