@@ -1,13 +1,13 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees learn from the urls that a rule decides: at most ``sample`` distinct ones, those with the smallest
-hashes. They are regression trees on histograms, fitted to the gradient of the logistic loss. Features: lengths,
+The trees learn from the urls that a rule decides: about ``sample`` distinct ones at most, chosen by a hash. They are regression trees on histograms, fitted to the gradient of the logistic loss. Features: lengths,
 depth, digit and hyphen ratios, entropy, counts of parameters and labels, and statistics of the host's suffixes
 and the path's first segment among the training urls.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, and no rule; its verdict is the
 trees', on its features as they are. Without anything to learn from, or with one kind of label only, the trees
-give the prior's side, ``allow`` if there is none. Repeated urls get equal rows.
+give the prior's side, ``allow`` if there is none. Repeated urls get equal rows, an empty table gives none, and input
+columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, quoted, ship, slices, without
+from .common import ascii_lower, free_names, quoted, ship, slices, without
 
 
 @dataclasses.dataclass(frozen=True)
@@ -172,14 +172,19 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", sample: i
     (the trees' probability of ``block``). ``labelled`` (url, blocked) replaces the urls that rules decide."""
     spark = pages.sparkSession
     ship(spark)
-    rows = without(pages, "host", "path", "rule", "verdict", "block_score")
-    address = quoted(url).cast("string")
+    kept = without(pages, "host", "path", "rule", "verdict", "block_score").columns
+    whole, ruled = free_names(pages, "whole_url", "ruled_verdict")
+    rows = pages.select(*[quoted(c) for c in kept], F.coalesce(quoted(url).cast("string"), F.lit("")).alias(whole))
+    address = F.col(whole)
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("host", host_of(address)).withColumn("path", path_of(address)).withColumn("rule", rule).withColumn("__ruled", verdict)
-    known = rows.where("rule IS NOT NULL").select(address.alias("u"), (F.col("__ruled") == "block").cast("int").alias("y")) if labelled is None else labelled.select(F.col("url").alias("u"), F.col("blocked").cast("int").alias("y")).dropna()
-    chosen = known.distinct().orderBy(F.xxhash64("u"), "u", "y").limit(sample).collect()  # a documented bound
+    rows = rows.withColumn("host", host_of(address)).withColumn("path", path_of(address)).withColumn("rule", rule).withColumn(ruled, verdict)
+    known = rows.where("rule IS NOT NULL").select(address.alias("u"), (F.col(ruled) == "block").cast("int").alias("y")) if labelled is None else labelled.select(F.col("url").alias("u"), F.col("blocked").cast("int").alias("y")).dropna()
+    share = max(1, -(-known.distinct().count() // sample))
+    chosen = known.where(F.pmod(F.xxhash64("u"), F.lit(share)) == 0).distinct().collect()  # a documented bound
+    chosen.sort(key=lambda r: (r.u, r.y))
     model = spark.sparkContext.broadcast(fit([r.u for r in chosen], [r.y for r in chosen]))
-    scored = rows.withColumn("__url", F.coalesce(address, F.lit("")))
+    names = [*kept, "host", "path", "rule", ruled]
+    scored = rows.select(*[quoted(c) for c in names], address)
     schema = T.StructType([*scored.schema.fields, T.StructField("block_score", T.DoubleType(), False)])
 
     def run(batches):
@@ -191,4 +196,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", sample: i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "block_score"])
 
     judged = scored.mapInArrow(run, schema)
-    return judged.withColumn("verdict", F.coalesce("__ruled", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))).drop("__ruled", "__url")
+    verdict = F.coalesce(F.col(ruled), F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return judged.select(*[quoted(c) for c in names[:-1]], verdict.alias("verdict"), "block_score")
