@@ -12,14 +12,14 @@ Distance is 1 - |A & B| / |A | B|; two documents link when it is at most ``eps``
    set can leave some of its most crowded ones: as many as both together never leave all that they share.
 3. Inside a region a document is the pivot: its distance to all members is computed, members within ``eps``
    link to it. Regions whose members are now all connected are done. In the rest the pivot leaves, and members
-   too close to it to reach any unlinked member (triangle inequality) leave; the remainder is joined again
-   with more pivots, and then pair by pair across components, all within the windows
-   ``|d(x, p) - d(y, p)| <= eps``. Nothing is left out, so components are exact.
+   too close to it to reach any unlinked member (triangle inequality) leave.
+4. What is left is joined with ``PIVOTS`` more documents of each region, and then pair by pair across components, all
+   within the windows ``|d(x, p) - d(y, p)| <= eps``. Nothing is left out, so components are exact.
 
 Order, regions and windows only steer the work: every link is verified on whole sets, and no pair that could
-join two components is skipped. Which shingles are common is counted over all documents in windows of
-``COUNT_WINDOW`` shingles and kept in bitmaps of fixed size; a false entry merely moves a shingle back.
-Shingles and sets are named by 64-bit hashes.
+join two components is skipped. Which shingles are common is counted over all documents, in a table of counters by
+the shingles' low bits of ``2**BITS`` places, against the mean count; shingles that share a counter merely move back
+together. Shingles and sets are named by 64-bit hashes.
 
 Defined results: null and wordless texts have no shingles and link with nothing; rows that share a doc_id and
 a text are one document; a null doc_id gets the smallest id of its component, null if there is none.
@@ -27,8 +27,6 @@ a text are one document; a null doc_id gets the smallest id of its component, nu
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,35 +34,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bytewise import FOLDED, bytes_of, hashes, mixed, words_of
 from .common import quoted, ship, slices, stored, text_of
 
-COUNT_WINDOW = 2_500_000
+COUNT_WINDOW = 1 << 20
 COMMON = (12, 200, 4000)
-BITMAP_BITS = 23
+BITS, SLICE_BITS = 23, 15
 BLOOM_BITS = 25
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that near inputs get unrelated hashes."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     def __init__(self, size: int):
         self.size = size
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Of each text the sorted distinct hashes of its shingles."""
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        if not flat:
-            return [np.zeros(0, np.uint64) for _ in texts]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-        lengths = np.array([len(w) for w in words])
-        starts = np.cumsum(lengths) - lengths
+        data, offsets = bytes_of(texts)
+        word, end, first = words_of(data, offsets)
+        if not len(word):
+            return [np.zeros(0, np.uint64) for _ in range(len(texts))]
+        h = hashes(data, word, end, FOLDED)
+        lengths, starts = np.diff(first), first[:-1]
         out = np.full(len(h), self.size, dtype=np.uint64)
         for i in range(self.size):
             out[: len(h) - i] = out[: len(h) - i] * _PRIME + h[i:]
@@ -87,6 +78,15 @@ class Shingler:
         return found
 
 
+def packed(values: np.ndarray) -> bytes:
+    return values.dtype.char.encode() + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:1].decode())
+    return np.frombuffer(pa.decompress(data[1:], kind.itemsize << SLICE_BITS, "zstd", asbytes=True), kind)
+
+
 def set_name(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
@@ -97,6 +97,7 @@ SPARE = 8
 CROWDED = 4
 #: Regions of more members than this are solved in blocks of ``BLOCK`` members, smaller ones by a join.
 LARGE = 16
+PIVOTS = 8
 BLOCK = 1024
 
 
@@ -105,36 +106,44 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - (percent * n + 99) // 100 + 1 + SPARE * n // 100)
 
 
-def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
-    """For each value of a shingle's low bits, how many of the bounds in ``COMMON`` its count reaches."""
+def common_shingles(texts: DataFrame, size: int, bits: int = BITS) -> np.ndarray:
+    """For each value of a shingle's low bits, how many of the bounds in ``COMMON``, above the mean, its count reaches."""
 
     def count(batches):
-        make, held, total = Shingler(size), [], 0
+        make, held, waiting = Shingler(size), [], 0
+        counters = np.zeros(1 << bits, np.uint32)
 
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            more = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[more].view(np.int64)), pa.array(counts[more])], names=["s", "n"])
+        def settle():
+            at, n = np.unique(np.concatenate(held) & np.uint64((1 << bits) - 1), return_counts=True)
+            counters[at] += n.astype(np.uint32)
 
         for batch in slices(batches):
-            found = make(batch.column(0).to_pylist())
+            found = make(batch.column(0))
             held += found
-            total += sum(map(len, found))
-            if total >= COUNT_WINDOW:
-                yield flush()
-                held, total = [], 0
+            waiting += sum(map(len, found))
+            if waiting >= COUNT_WINDOW:
+                settle()
+                held, waiting = [], 0
         if held:
-            yield flush()
-
-    counted = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON[0])
-    level = sum((F.col("n") >= bound).cast("int") for bound in COMMON)
-    place = F.col("s").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = counted.select(F.explode(F.sequence(F.lit(1), level)).alias("level"), F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit(32767)).alias("bit"))
-    # At most len(COMMON) * 2**(BITMAP_BITS - 15) rows of 4 KB.
-    rows = bits.groupBy("level", "bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
-    levels = np.zeros(1 << BITMAP_BITS, dtype=np.uint8)
+            settle()
+        for i, part in enumerate(counters.reshape(-1, 1 << SLICE_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([packed(part.astype(np.min_scalar_type(part.max())))], pa.binary())})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = total.setdefault(i, np.zeros(1 << SLICE_BITS, np.int64))
+                part += unpacked(data)
+        for i, part in total.items():  # which shingles are in which slice is chance, so each has the mean of all
+            level = sum((part >= bound + part.mean()).astype(np.uint8) for bound in COMMON)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "levels": pa.array([packed(level)], pa.binary())})
+
+    rows = texts.select("text").mapInArrow(count, "slice int, counts binary").repartitionById(min(64, 1 << bits - SLICE_BITS), "slice").mapInArrow(add, "slice int, levels binary").collect()
+    levels = np.zeros(1 << bits, np.uint8)  # whatever the input
     for r in rows:
-        levels[r.bucket << 15 : (r.bucket + 1) << 15] += np.unpackbits(np.frombuffer(bytes(r.map), np.uint8), bitorder="little")
+        levels[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = unpacked(bytes(r.levels))
     return levels
 
 
@@ -142,14 +151,14 @@ def profiles(texts: DataFrame, size: int, percent: int, levels) -> DataFrame:
     """(doc_id, node, n, prefix) of each document; ``prefix`` has the regions that its set is replicated to.
 
     A region is numbered by its shingle's place in the fixed order: how common it is, then its hash."""
-    mask = np.uint64((1 << BITMAP_BITS) - 1)
 
     def run(batches):
+        mask = np.uint64(len(levels.value) - 1)
         make, level_of = Shingler(size), levels.value
         for batch in slices(batches):
             nodes, sizes, prefixes = [], [], []
             keys = [batch.column(2)] if batch.num_columns > 2 else []
-            for s in make(batch.column(1).to_pylist()):
+            for s in make(batch.column(1)):
                 sizes.append(len(s))
                 nodes.append(set_name(s) if len(s) else None)
                 order = (level_of[s & mask].astype(np.uint64) << np.uint64(61)) | (s >> np.uint64(3))
@@ -194,7 +203,7 @@ def sets_of(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         for batch in slices(batches, 1024):
             at = _bloom_places(np.asarray(batch.column(0).fill_null(0)))
             batch = batch.filter(pa.array((filled[at >> 3] >> (at & 7) & 1).all(axis=0)))
-            found = [s for s in make(batch.column(1).to_pylist()) if len(s)]
+            found = [s for s in make(batch.column(1)) if len(s)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))], names=["node", "shingles"])
 
@@ -349,7 +358,7 @@ def placed_in_regions(docs: DataFrame, doc_id: str, text: str, size: int, percen
     return texts, profile, nodes, rows
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, pivots: tuple[int, ...] = (8,), keyed: bool = False) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, keyed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``; ``percent`` is the similarity.
 
     With ``keyed`` also ``text_key``, the text's SHA-256, and ``first``: whether the row is its component's document
@@ -379,13 +388,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     right = lambda df: df.select("s", *[F.col(c).alias(f"b_{c}") for c in columns])
     window = f"a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) AND a_low <= b_high + {eps} AND b_low <= a_high + {eps}"
     pair = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
-    for number in pivots:  # then several, for what is still apart
-        chosen = rows.groupBy("s").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(number)])
-        chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(number)]))).alias("node"))
-        met = left(rows.join(chosen, ["s", "node"])).join(right(rows), "s").where(window)
-        new = stored(verify(met.select(*pair).distinct()).where(linked(percent)).select("a", "b"), "links")
-        if new.isEmpty():
-            continue
+    # Then several, for what is still apart; the same ones in regions with the same members, so that pairs repeat.
+    chosen = rows.groupBy("s").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+    chosen = chosen.select("s", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("node"))
+    met = left(rows.join(chosen, ["s", "node"])).join(right(rows), "s").where(window)
+    new = stored(verify(met.select(*pair).distinct()).where(linked(percent)).select("a", "b"), "links")
+    if not new.isEmpty():
         links = links.union(new)
         comps = components(links)
         rows = with_components(rows.drop("comp"), comps)

@@ -80,3 +80,31 @@ def test_stage_keeps_rows_by_id_and_text(spark):
     assert [r for r in found if r[0] is not None and r[0] < 4] == [(1, near), (2, other), (3, None)]
     assert len([r for r in found if r[0] is None]) == 1  # one of two copies without ids
     assert len([r for r in found if r[0] == 4]) == 1
+
+
+def test_large_regions_of_unlinked_members(spark, monkeypatch):
+    """Families around one long shared passage: neither linked across families nor all linked within."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(4):
+        base = [word() for _ in range(90)]
+        for _ in range(14):
+            copy = list(base)
+            for at in rng.sample(range(90), rng.choice([2, 3, 4, 5])):
+                copy[at] = word()
+            texts.append(" ".join([*copy, *["same end of all"] * 1]))
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in brute_links(texts, 4, 85):
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    assert found == {i: find(i) for i in range(len(texts))}
