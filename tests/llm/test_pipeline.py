@@ -52,3 +52,43 @@ def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder[0]).columns == corpus_pipeline.COLUMNS
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __key string, text_key string, component_id long, spans string"
+
+
+def odd_rows(spark, folder):
+    """Null and repeated ids, null texts, repeated rows, and columns with the operators' names."""
+    _, texts, _ = folder
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[2]), (2, texts[2]), (None, texts[4]), (None, texts[4] + " zz"), (None, texts[1]), (3, None), (None, None), (4, ""), (5, "12"), (6, texts[32]), (6, texts[6])]
+    return spark.createDataFrame([(i, t, None if i == 6 else "en", None, None, "k", "t", 7, "s") for i, t in rows], SCHEMA).repartition(3), rows
+
+
+def test_stages_on_odd_rows(spark, folder):
+    docs, rows = odd_rows(spark, folder)
+    items = folder[2]
+    found = {name: sorted([(r.doc_id, r.text) for r in stage(spark, docs, folder[0]).select("doc_id", "text").collect()], key=str) for name, stage in corpus_pipeline.STAGES[:-1]}
+    ordered = lambda some: sorted(some, key=str)
+    assert found["language"] == ordered(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    assert found["benchmark"] == ordered(r for r in rows if not brute_hits(r[1], items)[1])
+    assert len(found["benchmark"]) == len(rows) - 1
+    assert found["secrets"] == ordered(rows)
+    # A copy goes, not the other text under its id; repeated rows of the document that stays all stay.
+    texts = folder[1]
+    near = found["near_duplicates"]
+    assert [r for r in near if r[0] in (1, 2)] == ordered([(1, texts[0]), (2, texts[2]), (2, texts[2])])
+    assert len([r for r in near if r[0] is None and (r[1] or "").startswith(texts[4])]) == 1
+    assert (3, None) in near and (None, None) in near and (4, "") in near and (5, "12") in near and (6, texts[6]) in near
+    encoded = corpus_pipeline.encode_tokens(spark, docs, folder[0]).collect()
+    assert sorted(map(str, (r.doc_id for r in encoded))) == sorted(str(i) for i, _ in rows)
+    assert sum(r.n_tokens == 1 for r in encoded) == 3
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    docs, _ = odd_rows(spark, folder)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder[0]).count() == 0, name
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.drop_benchmark_passages(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

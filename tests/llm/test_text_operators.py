@@ -352,3 +352,65 @@ def test_digests_of_queries(spark, tmp_path):
     for r in queries.op1_token_files(spark, path).collect():
         ids = [*t.encode(["Hello <|endoftext|> world", ""][r.doc_id], add_special_tokens=False).ids, 2]
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_und_for_texts_without_letters(spark):
+    train = spark.createDataFrame([(i, "some words here", "en") for i in range(4)], "doc_id long, text string, lang string")
+    rows = language.predict(frame(spark, ["½ ²", "①②", "123 _", "İİ some İ words", "नमस्ते"]), language.fit(train)).collect()
+    found = {r.doc_id: r for r in rows}
+    assert [(found[i].lang_pred, found[i].score) for i in range(3)] == [("und", 0.0)] * 3
+    assert found[3].spans[-1].end == len("İİ some İ words")
+    assert language.word_pattern().findall("नमस्ते ok") == ["नमस्ते", "ok"]
+
+
+def test_ledger_is_read_with_rules_in_another_order(spark):
+    one, two = secrets.Rule("aa", "a[0-9]{3,}", screen="a[0-9]"), secrets.Rule("bb", "b[0-9]{3,}", screen="b[0-9]")
+    path = scratch(spark, "ledger")
+    listed = lambda rules: secrets.Ledger(spark, path, rules).scan(frame(spark, ["x a123 y b4567"])).select(secrets.listed("spans", rules).alias("l")).first().l
+    assert listed((one, two)) == listed((two, one)) == "aa:2:6,bb:9:14"
+    newer = secrets.Rule("aa", "a[0-9]{2}", version=2, screen="a[0-9]")
+    assert listed((two, newer)) == "aa:2:5,bb:9:14"
+    assert listed((one,)) == "aa:2:6"
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    names = ["blob", "blob_key", "blob_spans", "__blob", "__key", "__text", "text_key", "bad_id", "whole_text", "whole_page", "whole_url", "ruled_verdict", "__url"]
+    rows = spark.createDataFrame([(1, "one two three token=abcdefgh https://a.example.com/en/7", *names)], ["doc_id", "text", *names])
+    benchmark = spark.createDataFrame([(1, "four five")], "item_id long, text string")
+    model = language.fit(rows.limit(0).withColumn("lang", F.lit("en")))
+    from tesseral.llm import pages, urls
+    from tesseral.llm.queries import URL_RULES
+
+    field = pages.fit(pages.example_pages(40), rounds=5)
+    for df in (
+        secrets.Ledger(spark, scratch(spark, "ledger")).scan(rows), decontaminate.clean(rows, benchmark), language.predict(rows, model), bpe.decode(bpe.encode(rows, TOKENIZER), TOKENIZER),
+        pages.extract(rows, field, "text", "main"), urls.judge(rows, URL_RULES, "text"),
+    ):
+        row = df.first()
+        assert [row[n] for n in names] == names
+        assert row["text"].startswith("one two")
+
+
+def test_pre_tokens_of_every_code_point():
+    pre = library().pre_tokenizer
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c >= 0xA000) and (c < 0xAC00 or c >= 0xD800) and (c < 0x20000 or c % 64 == 0)]
+    for at in range(0, len(points), 50_000):
+        text = "".join(f"a{chr(c)}b{chr(c)}1 " for c in points[at : at + 50_000])
+        assert bpe.pre_token_pattern().findall(text) == [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+
+
+def test_word_table_forgets_and_meets_odd_words():
+    import pyarrow as pa
+
+    spec, t, rng = bpe.read_spec(TOKENIZER), library(), random.Random(11)
+    tables = ans.library_table.__wrapped__(spec)[0], bpe.word_table.__wrapped__(spec)
+    words = ["the", "thing,", "Straße.", "été", "don't", "x1", "a b", " c", "...", "", "'s", "漢字!", "naïve", "é,", "résumé", "\U0001f600", "y\n", "z\n\nw", "<|endoftext|>", "¿qué?"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "s", str(rng.randrange(400))]) for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    for table in tables:
+        table.remembered = 300
+        for at in range(0, len(texts), 40):
+            some = texts[at : at + 40]
+            ids, lengths = table.encode(pa.array(some), 7)
+            ends = np.cumsum(lengths)
+            for text, n, end in zip(some, lengths, ends):
+                assert ids[end - n : end].tolist() == [*t.encode(text, add_special_tokens=False).ids, 7], text
