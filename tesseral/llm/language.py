@@ -52,19 +52,42 @@ REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
+#: What the standard library's matcher takes for letters, which is quick to find and right for most texts.
+PLAIN = re.compile(r"[^\W\d_]+")
+
+
 @functools.lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """A letter and the letters and marks after it, for the standard library's matcher."""
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """(a letter and the letters and marks after it; a character for which PLAIN would give other words)."""
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
-    def ranges(kind: str) -> str:
-        inside = np.zeros(0x110001, np.int8)
-        for run in regex.findall(kind, every):
-            inside[np.frombuffer(run.encode("utf-32-le"), "<u4")] = 1
-        turns = np.flatnonzero(np.diff(inside, prepend=0))
+    def members(pattern) -> np.ndarray:
+        inside = np.zeros(0x110001, bool)
+        for run in pattern.findall(every):
+            inside[np.frombuffer(run.encode("utf-32-le"), "<u4")] = True
+        return inside
+
+    def ranges(inside: np.ndarray) -> str:
+        turns = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
         return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in turns.reshape(-1, 2).tolist())
 
-    return re.compile(f"[{ranges(r'\p{L}+')}][{ranges(r'[\p{L}\p{M}]+')}]*")
+    letters, marks = members(regex.compile(r"\p{L}+")), members(regex.compile(r"\p{M}+"))
+    return re.compile(f"[{ranges(letters)}][{ranges(letters | marks)}]*"), re.compile(f"[{ranges((members(PLAIN) != letters) | marks)}]")
+
+
+def pattern_for(text: str) -> re.Pattern:
+    """A pattern that finds this text's words."""
+    if text.isascii():
+        return PLAIN
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return patterns()[0] if patterns()[1].search(text) else PLAIN
+    return patterns()[0] if any(c in text for c in "²³¹¼½¾") else PLAIN  # the only numerals there that are no digits
+
+
+def words_in(text: str) -> list[str]:
+    return pattern_for(text).findall(text)
 
 
 def lowered(text: str) -> str:
@@ -150,7 +173,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         for batch in slices(batches):
             words: dict[str, Counter] = defaultdict(Counter)
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[name].update(word_pattern().findall(lowered(t)))
+                words[name].update(words_in(lowered(t)))
             for name, counted in words.items():
                 if counted:
                     times = np.array(list(counted.values()))
@@ -190,12 +213,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("spans", SPANS, False)])
 
     def run(batches):
-        m, find = shared.value, word_pattern()
+        m = shared.value
         known: dict[str, int] = {}
         scores, lengths, scripted = (np.zeros((0, len(m.languages)), np.float32), np.zeros(0, np.int64), np.zeros(0, bool))
         for batch in slices(batches):
             texts = [lowered(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            words = [find.findall(t) for t in texts]
+            words = [words_in(t) for t in texts]
             new = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
             if len(known) + len(new) > REMEMBERED and known:
                 known, scores, lengths, scripted = {}, scores[:0], lengths[:0], scripted[:0]
@@ -221,7 +244,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if len(turns) == 1:
                     spans.append([{"start": 0, "end": len(t), "lang": m.languages[int(path[0])]}])
                 else:
-                    starts = [x.start() for x in find.finditer(t)]
+                    starts = [x.start() for x in pattern_for(t).finditer(t)]
                     cuts = [0, *[starts[k] for k in turns[1:]], len(t)]
                     spans.append([{"start": a, "end": b, "lang": m.languages[int(path[k])]} for a, b, k in zip(cuts[:-1], cuts[1:], turns, strict=True)])
             added = [pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))]

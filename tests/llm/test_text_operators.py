@@ -360,7 +360,10 @@ def test_und_for_texts_without_letters(spark):
     found = {r.doc_id: r for r in rows}
     assert [(found[i].lang_pred, found[i].score) for i in range(3)] == [("und", 0.0)] * 3
     assert found[3].spans[-1].end == len("İİ some İ words")
-    assert language.word_pattern().findall("नमस्ते ok") == ["नमस्ते", "ok"]
+    assert language.words_in("नमस्ते ok") == ["नमस्ते", "ok"]
+    texts = ["plain", "naïve x²", "ªb º", "œuvre “x”", "e\u0301té", "Ⅷ ok", "a1b_c"]
+    for t in [*texts, *(chr(c) + "a" for c in range(0x80, 0x3000))]:
+        assert language.words_in(t) == language.patterns()[0].findall(t), t
 
 
 def test_ledger_is_read_with_rules_in_another_order(spark):
