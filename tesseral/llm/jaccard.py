@@ -13,8 +13,9 @@ Distance is 1 - |A & B| / |A | B|; two documents link when it is at most ``eps``
 3. Inside a region a document is the pivot: its distance to all members is computed, members within ``eps``
    link to it. Regions whose members are now all connected are done. In the rest the pivot leaves, and members
    too close to it to reach any unlinked member (triangle inequality) leave.
-4. What is left is joined with ``PIVOTS`` more documents of each region, and then pair by pair across components, all
-   within the windows ``|d(x, p) - d(y, p)| <= eps``. Nothing is left out, so components are exact.
+4. What is left is joined with ``PIVOTS`` more documents of each region; members of large regions then with their
+   likeliest partners, in rounds until these join little; and then pair by pair across components, all within the
+   windows ``|d(x, p) - d(y, p)| <= eps``. Nothing is left out, so components are exact.
 
 Order, regions and windows only steer the work: every link is verified on whole sets, and no pair that could
 join two components is skipped. Which shingles are common is counted over all documents, in a table of counters by
@@ -27,6 +28,8 @@ a text are one document; a null doc_id gets the smallest id of its component, nu
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -97,6 +100,8 @@ SPARE = 8
 CROWDED = 4
 #: Regions of more members than this are solved in blocks of ``BLOCK`` members, smaller ones by a join.
 LARGE = 16
+#: So many pairs a member of a large region gives in a round that only looks for its likeliest links.
+BEST = 4
 PIVOTS = 8
 BLOCK = 1024
 
@@ -287,16 +292,17 @@ def _incidence(lists: pa.ListArray, chunk: int = 4096):
         yield values[begin : begin + chunk], matrix
 
 
-def solved(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def solved(rows: DataFrame, nodes: DataFrame, percent: int, best: int | None = None, seed: int = 0) -> DataFrame:
     """(a, b): pairs of large regions that can link, by windows and by the bound on common shingles.
 
     A region's members are dealt to blocks, and every two blocks are solved as matrices in a task of their own. A
-    pair that several regions share is given by the first of them."""
+    pair that several regions share is given by the first of them. With ``best`` blocks are solved by themselves
+    alone and each member gives only so many pairs, those of the highest bounds; ``seed`` deals the blocks anew."""
     eps = 1 - percent / 100 + 1e-9
     own = rows.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("regions"))
     blocks = F.ceil(F.col("k") / BLOCK)
-    members = rows.join(own, "node").join(nodes.select("node", "prefix"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "k")
+    members = rows.join(own, "node").join(nodes.select("node", "prefix"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), blocks))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)) if best is None else F.col("block")).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "k")
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
         region, i, j = (int(k.as_py()) for k in key)
@@ -318,6 +324,12 @@ def solved(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         good &= (low[:, None] <= high[None, :] + eps) & (low[None, :] <= high[:, None] + eps)
         if i != j:
             good &= block[:, None] != block[None, :]
+        if best is not None and best < len(node):
+            bound = np.where(good | good.T, most / (both - most), 0)
+            top = np.argpartition(-bound, best - 1, axis=1)[:, :best]
+            chosen = np.zeros_like(good)
+            chosen[np.arange(len(node))[:, None], top] = True
+            good &= chosen | chosen.T
         a, b = np.nonzero(good)
         first = np.ones(len(a), dtype=bool)
         for values, matrix in _incidence(table["regions"], 512):
@@ -399,6 +411,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         rows = with_components(rows.drop("comp"), comps)
         open_ = rows.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
         rows = stored(rows.join(open_, "s"), "regions")
+    # Then, in large regions, each member's likeliest partners, again and again until a round joins little: members of
+    # a group of near copies come into one component before all that can still link is looked at.
+    for seed in itertools.count():
+        large = rows.join(rows.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > LARGE), "s")
+        likely = stored(solved(large, nodes, percent, BEST, seed).distinct(), "likely")
+        tried = likely.count()
+        new = stored(verify.exact(likely).where(linked(percent)).select("a", "b"), "links") if tried else likely
+        joined = new.count()
+        if joined:
+            links = links.union(new)
+            comps = components(links)
+            rows = with_components(rows.drop("comp"), comps)
+            open_ = rows.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
+            rows = stored(rows.join(open_, "s"), "regions")
+        if 10 * joined <= tried:
+            break
     sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("k")), "s")  # and last, all that can still link
     small = sized.where(F.col("k") <= LARGE)
     met = left(small).join(right(small), "s").where(f"a_node < b_node AND {window}").select(*pair).distinct()

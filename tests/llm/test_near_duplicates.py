@@ -82,7 +82,8 @@ def test_stage_keeps_rows_by_id_and_text(spark):
     assert len([r for r in found if r[0] == 4]) == 1
 
 
-def test_large_regions_of_unlinked_members(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_large_regions_of_unlinked_members(spark, monkeypatch, block):
     """Families around one long shared passage: neither linked across families nor all linked within."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -95,6 +96,7 @@ def test_large_regions_of_unlinked_members(spark, monkeypatch):
                 copy[at] = word()
             texts.append(" ".join([*copy, *["same end of all"] * 1]))
     monkeypatch.setattr(jaccard, "LARGE", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     found = {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()}
     parent = list(range(len(texts)))
