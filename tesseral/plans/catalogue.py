@@ -197,6 +197,7 @@ query("include_two_has_many", "SELECT n_nationkey, (SELECT round(sum(c_acctbal),
 find("json_has_key", "events", f"SELECT {EVENTS} FROM events WHERE list_contains(json_keys(props), 'k')", where={"props": {"hasKey": "k"}})
 find("json_has_any", "events", f"SELECT {EVENTS} FROM events WHERE list_has_any(json_keys(props), ['z', 'k'])", where={"props": {"hasAnyKeys": ["z", "k"]}})
 find("json_has_all", "events", f"SELECT {EVENTS} FROM events WHERE list_has_all(json_keys(props), ['k'])", where={"props": {"hasAllKeys": ["k"]}})
+find("json_path_contains", "events", f"SELECT {EVENTS} FROM events WHERE json_extract_string(props, '$.k') = '7'", where={"props": {"path": {"segments": ["k"], "jsonContains": 7}}})
 find("json_path_equals", "events", f"SELECT {EVENTS} FROM events WHERE json_extract_string(props, '$.k') = '7'", where={"props": {"path": {"segments": ["k"], "equals": 7}}})
 find("json_contains", "events", f"SELECT {EVENTS} FROM events WHERE json_contains(props, '{{\"k\": 3}}')", where={"props": {"jsonContains": {"k": 3}}})
 
@@ -354,6 +355,148 @@ def _(db):
     return other.customer.find_many()
 
 
+@written("to_one_disconnect", ["region", "nation"], "nation", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 5 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def _(db):
+    db.nation.update_many({"region": {"disconnect": True}}, {"n_nationkey": {"lt": 5}})
+
+
+@written("to_one_create", ["region", "nation"], "nation", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 3 THEN 90 ELSE n_regionkey END AS n_regionkey FROM nation")
+def _(db):
+    db.nation.update_by_id(3, {"region": {"create": {"r_regionkey": 90, "r_name": "made"}}})
+
+
+@written("has_many_create", ["region", "nation"], "nation", f"SELECT {NATION} UNION ALL VALUES (90, 'made', 1), (91, 'too', 1)")
+def _(db):
+    db.region.update_by_id(1, {"nations": {"create": [{"n_nationkey": 90, "n_name": "made"}, {"n_nationkey": 91, "n_name": "too"}]}})
+
+
+@written("has_many_delete", ["region", "nation", "customer", "supplier"], "nation", f"SELECT {NATION} UNION ALL VALUES (91, 'stays', 1)")
+def _(db):
+    db.region.update_by_id(1, {"nations": {"create": [{"n_nationkey": 90, "n_name": "goes"}, {"n_nationkey": 91, "n_name": "stays"}]}})
+    db.region.update_by_id(1, {"nations": {"delete": [{"n_nationkey": 90}]}})
+
+
+@written("has_many_connect_or_create", ["region", "nation"], "nation", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 7 THEN 2 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL VALUES (90, 'made', 2)")
+def _(db):
+    wanted = [{"where": {"n_nationkey": key}, "create": {"n_name": "made"}} for key in (7, 90)]
+    db.region.update_by_id(2, {"nations": {"connectOrCreate": wanted}})
+
+
+def ends(db) -> tuple[int, int]:
+    """The first and the last labelled document."""
+    return tuple(db.labels.find_many(order_by={"doc_id": way}, limit=1).first()["doc_id"] for way in ("asc", "desc"))
+
+
+LABELS = "quality, toxic FROM labels"
+FIRST, LAST = "(SELECT min(doc_id) FROM labels)", "(SELECT max(doc_id) FROM labels)"
+MOVED = f"SELECT CASE WHEN doc_id = {FIRST} THEN {LAST} WHEN doc_id = {LAST} THEN NULL ELSE doc_id END AS doc_id, {LABELS}"
+
+
+@written("inverse_one_connect", ["documents", "labels"], "labels", MOVED)
+def _(db):
+    first, last = ends(db)
+    db.documents.update_by_id(last, {"label": {"connect": {"doc_id": first}}})
+
+
+@written("inverse_one_set", ["documents", "labels"], "labels", MOVED)
+def _(db):
+    first, last = ends(db)
+    db.documents.update_by_id(last, {"label": {"set": [{"doc_id": first}]}})
+
+
+@written("inverse_one_disconnect", ["documents", "labels"], "labels", f"SELECT nullif(doc_id, {FIRST}) AS doc_id, {LABELS}")
+def _(db):
+    db.documents.update_by_id(ends(db)[0], {"label": {"disconnect": True}})
+
+
+@written("inverse_one_delete", ["documents", "labels"], "labels", f"SELECT doc_id, {LABELS} WHERE doc_id <> {LAST}")
+def _(db):
+    db.documents.update_by_id(ends(db)[1], {"label": {"delete": True}})
+
+
+@written("inverse_one_create", ["documents", "labels"], "labels", f"SELECT doc_id, {LABELS} UNION ALL VALUES (9000001, 3, 0)")
+def _(db):
+    db.documents.create({"doc_id": 9000001, "text": "made", "label": {"create": {"quality": 3, "toxic": 0}}})
+
+
+LINKS = "SELECT l_partkey, l_suppkey FROM lineitem"
+
+
+def links(db):
+    return db.lineitem.find_many(select=["l_partkey", "l_suppkey"])
+
+
+@written("m2m_connect", ["orders", "part", "supplier", "lineitem"], "lineitem", f"{LINKS} UNION ALL (SELECT 2, s_suppkey FROM supplier WHERE s_suppkey < 8 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = 2 AND l_suppkey = s_suppkey))")
+def _(db):
+    db.part.update_by_id(2, {"suppliers": {"connect": [{"s_suppkey": key} for key in range(8)]}})
+    return links(db)
+
+
+@written("m2m_connect_or_create", ["nation", "orders", "part", "supplier", "lineitem"], "lineitem", f"{LINKS} UNION ALL VALUES (2, 9000001) UNION ALL (SELECT 2, 1 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = 2 AND l_suppkey = 1))")
+def _(db):
+    wanted = [{"where": {"s_suppkey": key}, "create": {"s_name": "made"}} for key in (1, 9000001)]
+    db.part.update_by_id(2, {"suppliers": {"connectOrCreate": wanted}})
+    return links(db)
+
+
+@written("m2m_create_delete", ["nation", "orders", "part", "supplier", "lineitem"], "supplier", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL VALUES (9000002, 'stays', NULL, NULL)")
+def _(db):
+    made = [{"s_suppkey": 9000001, "s_name": "goes"}, {"s_suppkey": 9000002, "s_name": "stays"}]
+    db.part.update_by_id(1, {"suppliers": {"create": made}})
+    db.part.update_by_id(1, {"suppliers": {"delete": [{"s_suppkey": 9000001}]}})
+
+
+@written("create_many_and_return", ["region"], "region", "SELECT 100 AS r_regionkey, 'NORTH' AS r_name UNION ALL SELECT 101, NULL")
+def _(db):
+    made = db.region.create_many_and_return([{"r_regionkey": 100, "r_name": "NORTH"}, {"r_regionkey": 101}])
+    return db.spark.createDataFrame([(r["r_regionkey"], r["r_name"]) for r in made], "r_regionkey int, r_name string")
+
+
+@written("update_by_id", ["region", "nation"], "nation", "SELECT n_nationkey, CASE WHEN n_nationkey = 6 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def _(db):
+    assert db.nation.update_by_id(6, {"n_name": "renamed"}, return_updated=True)["n_name"] == "renamed"
+
+
+@written("delete_by_id", ["part", "lineitem"], "part", f"SELECT {PART} FROM part UNION ALL VALUES (9000002, 'stays', NULL, NULL, NULL, NULL)")
+def _(db):
+    db.part.create_many([{"p_partkey": 9000001, "p_name": "goes"}, {"p_partkey": 9000002, "p_name": "stays"}])
+    db.part.delete_by_id(9000001)
+
+
+@written("batch_steps", ["region"], "region", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 3 UNION ALL VALUES (80, 'made')")
+def _(db):
+    db.batch([lambda tx: tx.region.create({"r_regionkey": 80, "r_name": "made"}), lambda tx: tx.region.delete({"r_regionkey": 3})])
+
+
+def spots(db) -> Client:
+    """The customers as points: nation across, thousands of balance up."""
+    from ..schema import bigint, define_schema, geometry, table
+
+    made = Client(define_schema(naming="camelCase", spots=table("spots", c_custkey=bigint().primary(), place=geometry())), db.source)
+    place = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("c_nationkey").cast("string"), F.lit(","), (F.col("c_acctbal") / 1000).cast("string"), F.lit("]}"))
+    made.spots.create_many(db.customer.find_many().select("c_custkey", place.alias("place")))
+    return made
+
+
+SQUARE = {"type": "Polygon", "coordinates": [[[4.5, 1.00005], [12.5, 1.00005], [12.5, 5.00005], [4.5, 5.00005], [4.5, 1.00005]]]}
+IN_SQUARE = "SELECT c_custkey FROM customer WHERE c_nationkey BETWEEN 5 AND 12 AND c_acctbal / 1000 > 1.00005 AND c_acctbal / 1000 < 5.00005"
+
+
+@written("spatial_within", ["customer"], "customer", IN_SQUARE)
+def _(db):
+    return spots(db).spots.find_many({"place": {"within": SQUARE}}, select=["c_custkey"])
+
+
+@written("spatial_intersects", ["customer"], "customer", IN_SQUARE)
+def _(db):
+    return spots(db).spots.find_many({"place": {"intersects": SQUARE}}, select=["c_custkey"])
+
+
+@written("spatial_dwithin", ["customer"], "customer", "SELECT c_custkey FROM customer WHERE sqrt(power(c_nationkey - 10, 2) + power(c_acctbal / 1000 - 3, 2)) <= 2.5")
+def _(db):
+    return spots(db).spots.find_many({"place": {"dWithin": {"geometry": {"type": "Point", "coordinates": [10, 3]}, "distance": 2.5}}}, select=["c_custkey"])
+
+
 # Plugins
 
 
